@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexmill import fixed_values as V
+from lexmill.functions.binding import let
+from lexmill.functions.text import utf16_length
 
 # --- fixed values: accepted data URL forms ----------------------------------
 PAYLOAD = r"([^\n\r\x{2028}\x{2029}]+)\z"
@@ -58,7 +60,7 @@ def signature_mime(url: Column) -> Column:
 def is_image_data_url(url: Column, max_chars: int | None = None) -> Column:
     ok = F.coalesce(url.rlike(IMAGE_URL), F.lit(False))
     if max_chars is not None:
-        ok = ok & (F.length(url) <= max_chars)
+        ok = ok & (utf16_length(url) <= max_chars)
     return ok
 
 
@@ -83,13 +85,12 @@ def valid_placement(placement: Column) -> Column:
 
 def _json_number(value: Column, path: str) -> Column:
     """The number at ``path``; null for strings and other types."""
-    found = F.try_variant_get(value, path, "variant")
-    numeric = F.schema_of_variant(found).rlike("^(BIGINT|INT|DOUBLE|FLOAT|DECIMAL)")
-    return F.when(numeric, F.try_variant_get(value, path, "double"))
+    kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+    return F.when(kind.rlike("^(BIGINT|INT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(value, path, "double"))
 
 
 def placement_struct(value: Column) -> Column:
-    """A variant read into ``struct(pageIndex, a, b)``."""
+    """A variant read into ``struct(pageIndex, a, b)``; only JSON numbers count."""
 
     def box(name: str) -> Column:
         return F.struct(*[_json_number(value, f"$.{name}.{side}").alias(side) for side in "xywh"])
@@ -97,6 +98,10 @@ def placement_struct(value: Column) -> Column:
     return F.struct(_json_number(value, "$.pageIndex").alias("pageIndex"), box("a").alias("a"), box("b").alias("b"))
 
 
+def valid_placement_json(value: Column) -> Column:
+    return let(placement_struct(value), valid_placement)
+
+
 def _json_strings(value: Column) -> Column:
     """A JSON array of strings; null when it is no array or holds another type."""
     items = F.try_variant_get(value, "$", "array<variant>")
@@ -104,17 +109,22 @@ def _json_strings(value: Column) -> Column:
         items,
         lambda item: F.when(F.schema_of_variant(item) == "STRING", F.try_variant_get(item, "$", "string")),
     )
-    return F.when(~F.exists(texts, lambda text: text.isNull()), texts)
+    return let(texts, lambda found: F.when(~F.exists(found, lambda text: text.isNull()), found))
 
 
 def valid_page_images(value: Column) -> Column:
-    pages = _json_strings(value)
-    size_ok = (F.size(pages) >= 1) & (F.size(pages) <= V.MAX_FILES)
-    each_ok = F.forall(pages, lambda page: is_image_data_url(page, V.MAX_PAGE_IMAGE_CHARS))
-    return F.coalesce(size_ok & each_ok, F.lit(False))
+
+    def valid(pages: Column) -> Column:
+        size_ok = (F.size(pages) >= 1) & (F.size(pages) <= V.MAX_FILES)
+        return size_ok & F.forall(pages, lambda page: is_image_data_url(page, V.MAX_PAGE_IMAGE_CHARS))
+
+    return F.coalesce(let(_json_strings(value), valid), F.lit(False))
 
 
 def valid_page_names(value: Column) -> Column:
-    names = _json_strings(value)
-    each_ok = F.forall(names, lambda name: F.length(name) <= V.MAX_PAGE_NAME_CHARS)
-    return F.coalesce((F.size(names) <= V.MAX_FILES) & each_ok, F.lit(False))
+
+    def valid(names: Column) -> Column:
+        short = F.forall(names, lambda name: utf16_length(name) <= V.MAX_PAGE_NAME_CHARS)
+        return (F.size(names) <= V.MAX_FILES) & short
+
+    return F.coalesce(let(_json_strings(value), valid), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexmill import fixed_values as V
+from lexmill.functions.binding import let
 from lexmill.functions.falsy import blank_to_null
 from lexmill.functions.text import js_trim
 
@@ -32,8 +33,11 @@ def object_map(value: Column) -> Column:
 
 def overlay(base: Column, patch: Column) -> Column:
     """Entries of ``patch`` over ``base``, whatever the key de-duplication policy is."""
-    kept = F.map_filter(base, lambda key, _: ~F.map_contains_key(patch, key))
-    return F.map_concat(kept, patch)
+    return let(patch, lambda over: F.map_concat(_without(base, lambda key: F.map_contains_key(over, key)), over))
+
+
+def _without(entries: Column, drop) -> Column:
+    return F.map_filter(entries, lambda key, _: ~drop(key))
 
 
 def meta_map(parsed: Column) -> Column:
@@ -46,9 +50,13 @@ def merge_json_meta(json_text: Column, patch: Column) -> Column:
     Invalid JSON and a ``meta`` that is no object count as empty. An explicit
     null in the patch overwrites; an absent key leaves the stored value.
     """
-    parsed = safe_json_parse(json_text)
-    meta = F.to_variant_object(overlay(meta_map(parsed), F.coalesce(patch, empty_map())))
-    return F.to_json(overlay(object_map(parsed), F.create_map(F.lit("meta"), meta)))
+
+    def merged(parsed: Column) -> Column:
+        meta = overlay(meta_map(parsed), F.coalesce(patch, empty_map()))
+        rest = _without(object_map(parsed), lambda key: key == "meta")
+        return F.to_json(F.map_concat(rest, F.create_map(F.lit("meta"), F.to_variant_object(meta))))
+
+    return let(safe_json_parse(json_text), merged)
 
 
 def patch_from_json(text: Column, keys: tuple[str, ...] | None = None) -> Column:
@@ -65,11 +73,13 @@ def meta_text(parsed: Column, key: str) -> Column:
 
 def meta_view(json_text: Column, file_name: Column) -> Column:
     """``struct(title, category, description)`` for the edit form."""
-    parsed = safe_json_parse(json_text)
-    return F.struct(
-        F.coalesce(meta_text(parsed, "title"), file_name, F.lit("")).alias("title"),
-        F.coalesce(meta_text(parsed, "category"), F.lit("")).alias("category"),
-        F.coalesce(meta_text(parsed, "description"), F.lit("")).alias("description"),
+    return let(
+        safe_json_parse(json_text),
+        lambda parsed: F.struct(
+            F.coalesce(meta_text(parsed, "title"), file_name, F.lit("")).alias("title"),
+            F.coalesce(meta_text(parsed, "category"), F.lit("")).alias("category"),
+            F.coalesce(meta_text(parsed, "description"), F.lit("")).alias("description"),
+        ),
     )
 
 
@@ -81,10 +91,8 @@ def first_object_text(answer: Column) -> Column:
 
 def clean_model_json(answer: Column, fallback_json: Column | None = None) -> Column:
     """JSON text of a model answer, or the fixed failure record."""
-    body = first_object_text(answer)
-    if fallback_json is None:
-        fallback_json = model_failure_json()
-    return F.when(is_valid_json(body), body).otherwise(fallback_json)
+    fallback = model_failure_json() if fallback_json is None else fallback_json
+    return let(first_object_text(answer), lambda body: F.when(is_valid_json(body), body).otherwise(fallback))
 
 
 def model_failure_json() -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -23,8 +25,12 @@ def utf16_length(col: Column) -> Column:
 
 @F.arrow_udf(StringType())
 def nfc(texts: pa.Array) -> pa.Array:
-    """Unicode NFC; Arrow does a whole batch in native code."""
-    return pc.utf8_normalize(texts, form="NFC")
+    """Unicode NFC. Texts of plain ASCII stay in their Arrow buffer."""
+    plain = pc.fill_null(pc.string_is_ascii(texts), True)
+    if pc.all(plain).as_py():
+        return texts
+    composed = [text and unicodedata.normalize("NFC", text) for text in texts.to_pylist()]
+    return pa.array(composed, type=texts.type)
 
 
 def strip_html(html: Column) -> Column:

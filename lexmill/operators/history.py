@@ -13,6 +13,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, TimestampType
 from lexmill import fixed_values as V
 from lexmill.functions import data_urls as urls
 from lexmill.functions import json_meta as meta
+from lexmill.functions.binding import let
 from lexmill.functions.falsy import blank_to_null, or_default
 from lexmill.functions.labels import detect_file_kind, file_kind
 from lexmill.functions.text import js_trim, normalize_contract_text, normalize_text
@@ -241,11 +242,11 @@ def _given(body: Column, key: str, valid: Column) -> Column:
 def meta_patch_error(body: Column) -> Column:
     """Name of the first invalid key of a meta patch, null when all are valid."""
     checks = {
-        "signaturePlacement": urls.valid_placement(urls.placement_struct(body["signaturePlacement"])),
-        "pagesImages": urls.valid_page_images(body["pagesImages"]),
-        "pagesOriginalNames": urls.valid_page_names(body["pagesOriginalNames"]),
+        "signaturePlacement": urls.valid_placement_json,
+        "pagesImages": urls.valid_page_images,
+        "pagesOriginalNames": urls.valid_page_names,
     }
-    return F.coalesce(*[F.when(~_given(body, key, valid), F.lit(key)) for key, valid in checks.items()])
+    return F.coalesce(*[F.when(~_given(body, key, check(body[key])), F.lit(key)) for key, check in checks.items()])
 
 
 def signature_patch_error(body: Column) -> Column:
@@ -259,8 +260,11 @@ def signature_patch_error(body: Column) -> Column:
 
 
 def _patch(df: DataFrame, patches: DataFrame, as_of, keys, error_of, order: str) -> tuple[DataFrame, DataFrame]:
-    read = patches.withColumn("_body", meta.patch_from_json(F.col("patch"), keys))
-    judged = read.withColumn("error", error_of(F.col("_body")))
+    read = let(
+        meta.patch_from_json(F.col("patch"), keys),
+        lambda body: F.struct(body.alias("_body"), error_of(body).alias("error")),
+    )
+    judged = patches.withColumn("_read", read).select(*patches.columns, "_read.*")
     sound = judged.where(F.col("error").isNull())
     bodies = merge_patches(sound.select("Id", order, "_body"), "Id", [order], "_body")
     fresh = bodies.withColumn("_asked", F.lit(True))
