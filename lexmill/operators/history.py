@@ -264,7 +264,8 @@ def _patch(df: DataFrame, patches: DataFrame, as_of, keys, error_of, order: str)
         meta.patch_from_json(F.col("patch"), keys),
         lambda body: F.struct(body.alias("_body"), error_of(body).alias("error")),
     )
-    judged = patches.withColumn("_read", read).select(*patches.columns, "_read.*")
+    # inline() keeps the filters below from being copied into the parsing.
+    judged = patches.select(*patches.columns, F.inline(F.array(read)))
     sound = judged.where(F.col("error").isNull())
     bodies = merge_patches(sound.select("Id", order, "_body"), "Id", [order], "_body")
     fresh = bodies.withColumn("_asked", F.lit(True))

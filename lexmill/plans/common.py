@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import fixed_values as V
+from lexmill.sources.readers import spread
 
 DIM = 64
 AS_OF_ORDERS = "2001-08-01 00:00:00"
@@ -16,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the documents, for work that is heavy on the text."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def stamp(col: str | Column) -> Column:
     """A time as text, "" when there is none."""
     return F.coalesce(F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(""))

@@ -12,6 +12,7 @@ from lexmill.operators.extraction import extract_contract_text
 from lexmill.operators.fold import fold_history
 from lexmill.operators.joins import update_by_key as update_rows
 from lexmill.operators.search import filter_by_name
+from lexmill.sources.readers import spread
 from lexmill.plans.common import (
     AS_OF_EVENTS,
     AS_OF_ORDERS,
@@ -145,7 +146,8 @@ def meta_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.format_string('{"category":"c%d","pagesOriginalNames":["a",%s]}', "l_linenumber",
                                    F.when(F.col("l_linestatus") == "F", '"b"').otherwise("2")))
     )
-    return table(spark, sf_dir, "lineitem").select(
+    names = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_linestatus")
+    return spread(table(spark, sf_dir, "lineitem").select(*names)).select(
         F.col("l_orderkey").alias("Id"), body.alias("patch"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq"),
     )

@@ -10,7 +10,7 @@ from lexmill.operators import joins, quality, stats
 from lexmill.operators.corpus import chunk_documents
 from lexmill.operators.corpus import upsert_vectors as upsert
 from lexmill.operators.indexing import assign_batches as number_batches
-from lexmill.plans.common import DIM, sql_chunks, table
+from lexmill.plans.common import DIM, documents, sql_chunks, table
 from lexmill.sources.readers import upload_manifest as manifest
 
 
@@ -49,7 +49,7 @@ def min_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunk_documents(table(spark, sf_dir, "documents"), ["source"], content="text", html=False)
+    chunks = chunk_documents(documents(spark, sf_dir, "source", "text"), ["source"], content="text", html=False)
     return stats.corpus_stats(chunks, "source")
 
 
@@ -151,7 +151,7 @@ UPSERT_SQL = """
 
 def assign_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks in upload order, fifty to a batch."""
-    chunks = chunk_documents(table(spark, sf_dir, "documents"), ["doc_id"], content="text", html=False)
+    chunks = chunk_documents(documents(spark, sf_dir, "doc_id", "text"), ["doc_id"], content="text", html=False)
     return number_batches(chunks.select("doc_id", "ordinal"), ["doc_id", "ordinal"])
 
 

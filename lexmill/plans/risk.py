@@ -12,7 +12,7 @@ from lexmill.functions import labels
 from lexmill.operators import risk as op
 from lexmill.operators.extraction import analyze_contracts
 from lexmill.operators.quality import drop_analysis_text as drop_text
-from lexmill.plans.common import sql_text, table
+from lexmill.plans.common import documents, sql_text, table
 
 # The keywords of the default rules do not occur in the test texts.
 RULES = (
@@ -23,7 +23,7 @@ RULES = (
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("contract_id"), "text")
+    return documents(spark, sf_dir, F.col("doc_id").alias("contract_id"), "text")
 
 
 _MATCHES = """

@@ -17,7 +17,8 @@ from lexmill.operators.extraction import extract_contract_text
 from lexmill.operators.pdf_lines import reassemble_pdf_lines
 from lexmill.operators.search import last_question as last_question_of
 from lexmill.operators.stats import json_validity
-from lexmill.plans.common import TRIM_SQL, sql_chunks, sql_text, sql_trim, table
+from lexmill.sources.readers import spread
+from lexmill.plans.common import TRIM_SQL, documents, sql_chunks, sql_text, sql_trim, table
 
 SPACES = V.SPACE_CLASS
 
@@ -29,17 +30,17 @@ def sql_strip_html(expr: str) -> str:
 
 
 def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", fn.strip_html(F.col("html")).alias("text"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", fn.strip_html(F.col("html")).alias("text"))
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = op.chunk_documents(table(spark, sf_dir, "documents"), ["doc_id"], content="text", html=False)
+    chunks = op.chunk_documents(documents(spark, sf_dir, "doc_id", "text"), ["doc_id"], content="text", html=False)
     return chunks.withColumn("id", op.chunk_id(F.col("doc_id"), F.col("doc_id"), F.col("ordinal")))
 
 
 def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as corpus documents: no title, the address as link."""
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
         F.col("page_id").cast("string").alias("id"),
         F.col("page_id").alias("position"),
         F.lit("").alias("title"),
@@ -65,7 +66,7 @@ CHUNK_PAGES_SQL = f"""
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three clean-ups, on documents whose line ends were roughened."""
     rough = F.concat(F.lit(" \n"), F.replace("text", F.lit("\n"), F.lit(" \t\r\n  \r\n\r\r")), F.lit("\n"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", rough.alias("text"))
+    docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", rough.alias("text"))
     return docs.select(
         "doc_id",
         fn.normalize_contract_text(F.col("text")).alias("contract"),
@@ -92,7 +93,7 @@ NORMALIZE_SQL = f"""
 def extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as uploaded text files, a fourth of them named as DOCX."""
     name = F.concat(F.lit("doc_"), "doc_id", F.when(F.col("lang") == "fr", ".DOCX").otherwise(".txt"))
-    files = table(spark, sf_dir, "documents").select(
+    files = documents(spark, sf_dir, "doc_id", "lang", "text").select(
         name.alias("path"),
         labels.upload_kind(F.lit(""), name).alias("kind"),
         F.encode("text", "utf-8").alias("content"),
@@ -110,7 +111,7 @@ EXTRACT_SQL = f"""
 
 def line_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents set out as pages of 40 lines, a piece per word, and read back."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     words = lines.select("doc_id", "n", F.posexplode(F.split("line", " ")).alias("item", "str"))
     items = words.select(
