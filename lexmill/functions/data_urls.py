@@ -15,6 +15,9 @@ PNG_URL = r"(?i)^data:image/(png);base64," + PAYLOAD
 IMAGE_URL = r"(?i)^data:image/(png|jpe?g);base64," + PAYLOAD
 ANY_URL = r"(?i)^data:([^;]+);base64," + PAYLOAD
 
+BOX_TYPE = "struct<x:double,y:double,w:double,h:double>"
+PLACEMENT_TYPE = f"struct<pageIndex:double,a:{BOX_TYPE},b:{BOX_TYPE}>"
+
 
 def _decode(payload: Column) -> Column:
     """Lenient base64: both alphabets, stray characters skipped, padding optional."""
@@ -83,19 +86,9 @@ def valid_placement(placement: Column) -> Column:
     return F.coalesce(page_ok, F.lit(False)) & valid_box(placement["a"]) & valid_box(placement["b"])
 
 
-def _json_number(value: Column, path: str) -> Column:
-    """The number at ``path``; null for strings and other types."""
-    kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-    return F.when(kind.rlike("^(BIGINT|INT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(value, path, "double"))
-
-
 def placement_struct(value: Column) -> Column:
-    """A variant read into ``struct(pageIndex, a, b)``; only JSON numbers count."""
-
-    def box(name: str) -> Column:
-        return F.struct(*[_json_number(value, f"$.{name}.{side}").alias(side) for side in "xywh"])
-
-    return F.struct(_json_number(value, "$.pageIndex").alias("pageIndex"), box("a").alias("a"), box("b").alias("b"))
+    """A variant read into ``struct(pageIndex, a, b)``; text in place of a number is null."""
+    return F.from_json(F.to_json(value), PLACEMENT_TYPE)
 
 
 def valid_placement_json(value: Column) -> Column:
@@ -104,12 +97,8 @@ def valid_placement_json(value: Column) -> Column:
 
 def _json_strings(value: Column) -> Column:
     """A JSON array of strings; null when it is no array or holds another type."""
-    items = F.try_variant_get(value, "$", "array<variant>")
-    texts = F.transform(
-        items,
-        lambda item: F.when(F.schema_of_variant(item) == "STRING", F.try_variant_get(item, "$", "string")),
-    )
-    return let(texts, lambda found: F.when(~F.exists(found, lambda text: text.isNull()), found))
+    is_strings = F.schema_of_variant(value).isin("ARRAY<STRING>", "ARRAY<VOID>")
+    return F.when(is_strings, F.try_variant_get(value, "$", "array<string>"))
 
 
 def valid_page_images(value: Column) -> Column:

@@ -267,7 +267,7 @@ def _patch(df: DataFrame, patches: DataFrame, as_of, keys, error_of, order: str)
     # inline() keeps the filters below from being copied into the parsing.
     judged = patches.select(*patches.columns, F.inline(F.array(read)))
     sound = judged.where(F.col("error").isNull())
-    bodies = merge_patches(sound.select("Id", order, "_body"), "Id", [order], "_body")
+    bodies = merge_patches(sound.select("Id", order, "_body"), "Id", [order], "_body", keys)
     fresh = bodies.withColumn("_asked", F.lit(True))
     updated = _set(
         df.join(fresh, "Id", "left"),
@@ -281,16 +281,20 @@ def _patch(df: DataFrame, patches: DataFrame, as_of, keys, error_of, order: str)
     return updated, refused.unionByName(unknown)
 
 
-def merge_patches(patches: DataFrame, key: str, order: list[str], body: str) -> DataFrame:
-    """Several patches of a record as one: the last value of each key wins.
+def merge_patches(patches: DataFrame, key: str, order: list[str], body: str, names: tuple[str, ...]) -> DataFrame:
+    """Several patches of a record as one: the last value of each name wins.
 
-    Values are combined per (record, key) before anything is grouped by record,
-    so what a record collects is one entry per key.
+    One combining aggregate per name, so a record with very many patches costs
+    one row per task. An explicit null is a value; an absent name is not.
     """
-    entries = patches.select(key, *order, F.explode_outer(body).alias("_key", "_value"))
-    last = entries.groupBy(key, "_key").agg(F.max_by("_value", F.struct(*order)).alias("_value"))
-    pairs = F.collect_list(F.when(F.col("_key").isNotNull(), F.struct("_key", "_value")))
-    return last.groupBy(key).agg(F.map_from_entries(pairs).alias(body))
+    place = F.struct(*order)
+    last = [
+        F.max_by(F.col(body)[name], F.when(F.map_contains_key(F.col(body), name), place)).alias(f"_{name}")
+        for name in names
+    ]
+    values = F.map_from_arrays(F.lit(list(names)), F.array(*[f"_{name}" for name in names]))
+    given = F.map_filter(values, lambda _, value: value.isNotNull())
+    return patches.groupBy(key).agg(*last).select(key, given.alias(body))
 
 
 def update_meta(df: DataFrame, patches: DataFrame, as_of, order: str = "seq") -> tuple[DataFrame, DataFrame]:
