@@ -48,4 +48,4 @@ def reassemble_pdf_lines(items: DataFrame, position: str = "item") -> DataFrame:
 
 def _tidy(line: Column) -> Column:
     blanks = F.regexp_replace(line, "[ \t]+", " ")
-    return F.rtrim(F.replace(blanks, F.lit(" "), F.lit(" ")), F.lit(V.TRIM_CHARS))
+    return F.rtrim(F.replace(blanks, F.lit("\u00A0"), F.lit(" ")), F.lit(V.TRIM_CHARS))

@@ -65,7 +65,7 @@ CHUNK_PAGES_SQL = f"""
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three clean-ups, on documents whose line ends were roughened."""
-    rough = F.concat(F.lit(" \n"), F.replace("text", F.lit("\n"), F.lit(" \t\r\n  \r\n\r\r")), F.lit("\n"))
+    rough = F.concat(F.lit("\u00A0\n"), F.replace("text", F.lit("\n"), F.lit(" \t\r\n  \r\n\r\r")), F.lit("\n"))
     docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", rough.alias("text"))
     return docs.select(
         "doc_id",

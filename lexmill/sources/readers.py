@@ -16,7 +16,7 @@ DOCUMENT_SCHEMA = (
     "Id int, Title string, SubTitle string, DocumentNumber string, DocumentType string, "
     "Agency string, IssueDate string, Description string, Content string"
 )
-INDEX_SCHEMA = "vectors map<bigint,array<double>>"
+INDEX_SCHEMA = "vectors map<string,array<double>>"
 COMMAND_SCHEMA = "Id bigint, ts timestamp, seq bigint, cmd string, body string"
 
 
@@ -58,7 +58,7 @@ def read_vector_index(spark: SparkSession, path: str, current: DataFrame | None
     if current is not None and saved.where(F.col("vectors").isNotNull()).isEmpty():
         return current
     rows = saved.select(F.explode("vectors").alias("vec_id", "embedding"))
-    return rows.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    return rows.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<float>"))
 
 
 def read_jdbc_table(
