@@ -83,19 +83,20 @@ def _pieces(log: DataFrame, days: int) -> DataFrame:
     """
     at = F.struct("ts", "seq")
     narrow = log.select("Id", "slice", "cmd", at.alias("at"))
-    piece = Window.partitionBy("Id", "slice").orderBy("at")
-    all_of = piece.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    up_to = piece.rowsBetween(Window.unboundedPreceding, -1)
-    after = piece.rowsBetween(1, Window.unboundedFollowing)
+    piece = Window.partitionBy("Id", "slice")
+    all_of = piece.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    earlier = piece.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    # Running aggregates only: a frame that ends unbounded would be read anew for every row.
+    later = piece.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
     is_restore = F.col("cmd") == "restore"
     rows = narrow.select(
         "Id",
         "slice",
         "cmd",
         "at",
-        F.coalesce(F.max(F.col("cmd") == "save").over(up_to), F.lit(False)).alias("live"),
+        F.coalesce(F.max(F.col("cmd") == "save").over(earlier), F.lit(False)).alias("live"),
         F.max(F.when(is_restore, F.col("at"))).over(all_of).alias("last_restore"),
-        F.min(F.when(is_restore, F.col("at"))).over(after).alias("next_restore"),
+        F.min(F.when(is_restore, F.col("at"))).over(later).alias("next_restore"),
     )
     limit = F.make_dt_interval(F.lit(days))
     is_delete = F.col("cmd") == "delete"
