@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill import fixed_values as V
 from lexmill.functions.falsy import blank_to_null
-from lexmill.functions.labels import file_extension
+from lexmill.functions.labels import file_extension, upload_kind
 from lexmill.functions.text import js_trim, utf16_length
 from lexmill.operators.joins import insert_unique
 
@@ -52,11 +52,19 @@ def require_fields(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame
 
 
 def validate_upload(
-    files: DataFrame, upload_id: str = "upload_id", name: str = "name", mime: str = "mime"
+    files: DataFrame, upload_id: str = "upload_id", name: str = "name", mime: str = "mime", side: str = "client"
 ) -> DataFrame:
-    """``(upload_id, n_files, error)``: first failing rule per upload, null if none."""
+    """``(upload_id, n_files, error)``: first failing rule per upload, null if none.
+
+    The client goes by the file's extension, the server by type or extension.
+    """
     is_image = F.coalesce(F.col(mime).startswith("image/"), F.lit(False))
-    allowed = file_extension(F.col(name)).isin(*V.UPLOAD_EXTENSIONS)
+    if side == "client":
+        allowed = file_extension(F.col(name)).isin(*V.UPLOAD_EXTENSIONS)
+    elif side == "server":
+        allowed = upload_kind(F.col(mime), F.col(name)).isNotNull()
+    else:
+        raise ValueError(f"unknown side {side!r}")
     per_upload = files.groupBy(upload_id).agg(
         F.count("*").alias("n_files"),
         F.every(is_image).alias("_images"),

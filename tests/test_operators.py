@@ -115,7 +115,7 @@ def test_request_question(spark):
     schema = "query string, message string, question string, messages array<struct<role:string,content:string>>"
     rows = [("", "m", "q", None), (None, None, "q", None), (None, "", None, [("u", "a"), ("u", "b")]), ("", "", "", [])]
     df = spark.createDataFrame(rows, schema)
-    col = search.request_question(F.col("query"), F.col("message"), F.col("question"), F.col("messages"))
+    col = search.request_question([F.col(c) for c in ("query", "message", "question")], F.col("messages"))
     assert [r.v for r in df.select(col.alias("v")).collect()] == ["m", "q", "b", None]
 
 
@@ -126,6 +126,9 @@ def test_validate_upload(spark):
     rows = [(1, "a.PDF", "application/pdf")] + [(2, "p.png", "image/png")] * 31
     rows += [(3, "p.png", "image/png"), (3, "a.pdf", "application/pdf"), (4, "noext", None), (5, "a.gif", "image/gif")]
     errors = {r.upload_id: r.error for r in quality.validate_upload(spark.createDataFrame(rows, "upload_id int, name string, mime string")).collect()}
+    uploads = spark.createDataFrame([(1, "a", "application/pdf"), (2, "a.gif", "image/gif"), (3, "a.rtf", None)], "upload_id int, name string, mime string")
+    served = {r.upload_id: r.error for r in quality.validate_upload(uploads, side="server").collect()}
+    assert served == {1: None, 2: None, 3: quality.EXTENSION}
     assert errors == {1: None, 2: quality.TOO_MANY, 3: quality.MIXED, 4: quality.EXTENSION, 5: quality.EXTENSION}
 
 
