@@ -166,8 +166,8 @@ def _last_values(log: DataFrame, keys: tuple[str, ...] | None) -> DataFrame:
     patches = log.where(F.col("cmd") == "patch").select(
         "Id",
         F.struct("ts", "seq").alias("_at"),
-        F.explode(meta.patch_from_json(F.col("body"), keys)).alias("_key", "_value"),
-    )
+        F.explode_outer(meta.patch_from_json(F.col("body"), keys)).alias("_key", "_value"),
+    ).where(F.col("_key").isNotNull())
     last = patches.groupBy("Id", "_key").agg(F.max("_at").alias("_last"), F.max_by("_value", "_at").alias("_value"))
     value = F.struct(F.col("_key").alias("key"), F.col("_value").alias("value"), F.col("_last").alias("at"))
     return last.groupBy("Id").agg(F.collect_list(value).alias("_values"))

@@ -58,7 +58,8 @@ def match_risk_rules(contracts: DataFrame, rules=DEFAULT_RULES, text: str = "tex
             ]
         )
     )
-    return lowered.select(key, F.explode(hits).alias("_hit")).select(key, "_hit.*")
+    exploded = lowered.select(key, F.explode_outer(hits).alias("_hit"))
+    return exploded.where(F.col("_hit").isNotNull()).select(key, "_hit.*")
 
 
 def risk_report(contracts: DataFrame, rules=DEFAULT_RULES, text: str = "text") -> DataFrame:

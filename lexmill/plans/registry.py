@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.plans import history, quality, retrieval, risk, search, streams, text
+from lexmill.plans import flows, history, quality, retrieval, risk, search, streams, text
 
 ALL = {
     **retrieval.QUERIES,
@@ -12,4 +12,5 @@ ALL = {
     **history.QUERIES,
     **quality.QUERIES,
     **streams.QUERIES,
+    **flows.QUERIES,
 }
