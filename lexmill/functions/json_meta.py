@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from lexmill import fixed_values as V
 from lexmill.functions.binding import let
-from lexmill.functions.falsy import blank_to_null
 from lexmill.functions.text import js_trim
 
 VARIANT_MAP = "map<string,variant>"
 
 
 def safe_json_parse(text: Column) -> Column:
-    """The parsed value as a variant; null for null, "" and invalid text."""
-    return F.try_parse_json(blank_to_null(text))
+    """The parsed value as a variant; null for null, blank and invalid text.
+
+    Spark's parser stops after the first value. Put into an array and into an
+    object, only a text that is one value alone is closed properly by both.
+    """
+    in_array = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return let(in_array, lambda values: F.when((F.size(values) == 1) & in_object.isNotNull(), F.get(values, F.lit(0))))
 
 
 def is_valid_json(text: Column) -> Column:

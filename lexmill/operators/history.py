@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, TimestampType
 from lexmill import fixed_values as V
 from lexmill.functions import data_urls as urls
 from lexmill.functions import json_meta as meta
-from lexmill.functions.binding import let
+from lexmill.functions.binding import expand, let
 from lexmill.functions.falsy import blank_to_null, or_default
 from lexmill.functions.labels import detect_file_kind, file_kind
 from lexmill.functions.text import js_trim, normalize_contract_text, normalize_text
@@ -95,15 +95,18 @@ def _stored_text() -> Column:
 
 def original_files(df: DataFrame) -> DataFrame:
     """``(Id, kind, content)`` of records whose original file is kept as a data URL."""
-    parsed = meta.safe_json_parse(F.col("AnalysisJson"))
-    opened = df.select(
-        "Id",
-        urls.parse_base64_data_url(meta.meta_text(parsed, "originalFileDataUrl")).alias("file"),
-        meta.meta_text(parsed, "originalFileMimeType").alias("hint_mime"),
-        meta.meta_text(parsed, "originalFileName").alias("hint_name"),
-    ).where(F.length("file.bytes") > 0)
-    flags = detect_file_kind(F.col("file.mime"), F.col("hint_mime"), F.col("hint_name"))
-    return opened.select("Id", file_kind(flags).alias("kind"), F.col("file.bytes").alias("content"))
+    told = let(
+        meta.safe_json_parse(F.col("AnalysisJson")),
+        lambda parsed: F.struct(
+            meta.meta_text(parsed, "originalFileDataUrl").alias("url"),
+            meta.meta_text(parsed, "originalFileMimeType").alias("hint_mime"),
+            meta.meta_text(parsed, "originalFileName").alias("hint_name"),
+        ),
+    )
+    named = expand(df, ["Id"], told).where(blank_to_null(F.col("url")).isNotNull())
+    opened = expand(named, ["Id", "hint_mime", "hint_name"], urls.parse_base64_data_url(F.col("url")))
+    flags = detect_file_kind(F.col("mime"), F.col("hint_mime"), F.col("hint_name"))
+    return opened.where(F.length("bytes") > 0).select("Id", file_kind(flags).alias("kind"), F.col("bytes").alias("content"))
 
 
 def backfill_contract_text(df: DataFrame, texts: DataFrame, as_of) -> DataFrame:
@@ -123,16 +126,18 @@ def backfill_contract_text(df: DataFrame, texts: DataFrame, as_of) -> DataFrame:
 
 def export_contract_text(df: DataFrame) -> DataFrame:
     """``(Id, lines)``: the text form of a record's report."""
-    parsed = meta.safe_json_parse(F.col("AnalysisJson"))
-    title = F.coalesce(
-        blank_to_null(meta.meta_text(parsed, "title")),
-        blank_to_null(F.col("FileName")),
-        F.format_string(V.EXPORT_TITLE, F.col("Id")),
+    stored = let(
+        meta.safe_json_parse(F.col("AnalysisJson")),
+        lambda parsed: F.struct(
+            *[blank_to_null(meta.meta_text(parsed, key)).alias(f"_{key}") for key in ("title", "category", "description")]
+        ),
     )
+    told = expand(df, ["Id", "FileName", "ContractText", "AnalysisText", "CreatedAt"], stored)
+    title = F.coalesce("_title", blank_to_null(F.col("FileName")), F.format_string(V.EXPORT_TITLE, F.col("Id")))
     created = F.concat(F.lit(V.EXPORT_CREATED), F.coalesce(F.date_format("CreatedAt", "HH:mm:ss d/M/yyyy"), F.lit("")))
 
     def optional(label: str, key: str) -> Column:
-        return F.concat(F.lit(label), blank_to_null(meta.meta_text(parsed, key)))
+        return F.concat(F.lit(label), F.col(f"_{key}"))
 
     body = or_default(_stored_text(), V.EXPORT_EMPTY)
     text = normalize_text(body, collapse_newlines=False, trim=False)
@@ -144,7 +149,7 @@ def export_contract_text(df: DataFrame) -> DataFrame:
         F.lit(V.EXPORT_HEADING),
         text,
     )
-    return df.select("Id", F.array_join(lines, "\n").alias("lines"))
+    return told.select("Id", F.array_join(lines, "\n").alias("lines"))
 
 
 # --- adding and changing -------------------------------------------------------------
@@ -264,8 +269,7 @@ def _patch(df: DataFrame, patches: DataFrame, as_of, keys, error_of, order: str)
         meta.patch_from_json(F.col("patch"), keys),
         lambda body: F.struct(body.alias("_body"), error_of(body).alias("error")),
     )
-    # inline() keeps the filters below from being copied into the parsing.
-    judged = patches.select(*patches.columns, F.inline(F.array(read)))
+    judged = expand(patches, patches.columns, read)
     sound = judged.where(F.col("error").isNull())
     bodies = merge_patches(sound.select("Id", order, "_body"), "Id", [order], "_body", keys)
     fresh = bodies.withColumn("_asked", F.lit(True))

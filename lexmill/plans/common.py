@@ -103,10 +103,13 @@ def sql_cosine(queries: str, corpus: str, k: int = V.TOP_K) -> str:
 # --- the history table and command log that orders and events stand in for ----------
 
 
-def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def history(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """Orders as history records; ``heavy`` for work on their JSON and texts."""
+    orders = table(spark, sf_dir, "orders")
+    orders = spread(orders) if heavy else orders
     trashed = F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate") + F.make_dt_interval(F.lit(10)))
     title = F.concat(F.lit('{"summary":"s","meta":{"title":"'), "o_orderpriority", F.lit('","kept":1}}'))
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         F.col("o_orderkey").alias("Id"),
         F.col("o_custkey").alias("UserId"),
         F.format_string("contract_%d.pdf", "o_orderkey").alias("FileName"),

@@ -154,12 +154,12 @@ def meta_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def update_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updated, _ = op.update_meta(history(spark, sf_dir), meta_patches(spark, sf_dir), AS_OF_ORDERS)
-    view = meta_view(F.col("AnalysisJson"), F.col("FileName"))
-    return updated.select(
+    updated, _ = op.update_meta(history(spark, sf_dir, heavy=True), meta_patches(spark, sf_dir), AS_OF_ORDERS)
+    viewed = updated.withColumn("view", meta_view(F.col("AnalysisJson"), F.col("FileName")))
+    return viewed.select(
         "Id",
-        view["title"].alias("title"),
-        view["category"].alias("category"),
+        "view.title",
+        "view.category",
         F.coalesce(F.get_json_object("AnalysisJson", "$.meta.signaturePlacement.a.w"), F.lit("")).alias("width"),
         F.coalesce(F.get_json_object("AnalysisJson", "$.meta.kept"), F.lit("")).alias("kept"),
         stamp("UpdatedAt").alias("UpdatedAt"),
@@ -186,7 +186,7 @@ UPDATE_META_SQL = f"""
 
 def rejected_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patches that were refused, with the key at fault."""
-    _, rejected = op.update_meta(history(spark, sf_dir), meta_patches(spark, sf_dir), AS_OF_ORDERS)
+    _, rejected = op.update_meta(history(spark, sf_dir, heavy=True), meta_patches(spark, sf_dir), AS_OF_ORDERS)
     return rejected.groupBy("Id", "error").agg(F.count("*").alias("n"))
 
 
@@ -205,7 +205,7 @@ def update_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string('{"signatureADataUrl":"%s","signatureBDataUrl":%s}', url, b).alias("patch"),
         F.lit(1).alias("seq"),
     )
-    updated, _ = op.update_signatures(history(spark, sf_dir), patches, AS_OF_ORDERS)
+    updated, _ = op.update_signatures(history(spark, sf_dir, heavy=True), patches, AS_OF_ORDERS)
 
     def held(key: str) -> F.Column:
         return F.coalesce(F.get_json_object("AnalysisJson", f"$.meta.{key}"), F.lit("")).alias(key[:10])
@@ -230,7 +230,7 @@ def update_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def backfill_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records without text filled from an original file kept as a data URL."""
-    base = history(spark, sf_dir)
+    base = history(spark, sf_dir, heavy=True)
     url = F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode(F.concat(F.lit(" from "), "FileName"), "utf-8")))
     packed = F.format_string('{"meta":{"originalFileDataUrl":"%s"}}', url)
     base = base.withColumn("AnalysisJson", F.when(F.col("RiskScore") >= 50, packed).otherwise(F.col("AnalysisJson")))
@@ -247,7 +247,7 @@ BACKFILL_SQL = f"""
 
 
 def export_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.export_contract_text(history(spark, sf_dir))
+    return op.export_contract_text(history(spark, sf_dir, heavy=True))
 
 
 EXPORT_SQL = f"""
