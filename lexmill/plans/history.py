@@ -79,7 +79,7 @@ def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def save_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "click"))
+    events = spread(table(spark, sf_dir, "events")).where(F.col("event_type").isin("signup", "click"))
     content = F.when(F.col("event_type") == "signup", F.concat(F.lit('{"meta":{"k":0,"old":1},"s":'), F.col("value"), F.lit("}")))
     return events.select(
         F.col("user_id").alias("UserId"),
