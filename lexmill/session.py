@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -28,6 +30,23 @@ def build_session(app_name: str = "lexmill", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers, once per application.
+
+    Not needed where it is installed on the executors or given by ``--py-files``.
+    """
+    sc = spark.sparkContext
+    if _shipped.get("to") == sc.applicationId:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="lexmill-"), "lexmill")
+    sc.addPyFile(shutil.make_archive(archive, "zip", root, "lexmill"))
+    _shipped["to"] = sc.applicationId
+
+
+_shipped: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
