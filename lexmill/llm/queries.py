@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import chat_format, gif, mixing, token_counts
+from lexmill.llm import chat_format, decontaminate, gif, jaccard_join, mixing, token_counts
 from lexmill.llm.common import table
 
 GUARDED = r"\### Assistant: </turn> ok"
@@ -48,6 +48,57 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id"""
 
 
+LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+def _lower_words(text: str) -> str:
+    return WORDS_SQL.format(LOWER_SQL.format(text))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every benchmark item."""
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP3_SQL = f"""
+WITH item_words AS (SELECT DISTINCT item_id, text, {_lower_words("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+items AS (
+  SELECT item_id, text, least(5, len(w)) AS k,
+    unnest(list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2),
+      lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' ')))) AS gram
+  FROM item_words WHERE len(w) > 0),
+doc_words AS (SELECT doc_id, {_lower_words("text")} AS w FROM documents),
+docs AS (
+  SELECT doc_id, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2),
+    lambda i: array_to_string(w[i:i + k - 1], ' ')))) AS gram
+  FROM doc_words, (SELECT DISTINCT k FROM items) WHERE len(w) >= k),
+sizes AS (SELECT item_id, text, count(*) AS n FROM items GROUP BY ALL),
+shared AS (SELECT doc_id, item_id, text, count(*) AS s FROM items JOIN docs USING (k, gram) GROUP BY ALL)
+SELECT doc_id, item_id, n AS item_shingles, s AS shared_shingles, s / n AS containment
+FROM shared JOIN sizes USING (item_id, text) WHERE 5 * s >= 4 * n"""
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = f"""
+WITH RECURSIVE doc_words AS (SELECT doc_id, coalesce({_lower_words("text")}, []) AS w FROM documents),
+grams AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2),
+    lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' ')))) AS gram
+  FROM doc_words WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  JOIN sizes s ON s.doc_id = a.doc_id JOIN sizes t ON t.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, s.n, t.n HAVING 100 * count(*) >= 80 * (s.n + t.n - count(*))),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT x AS doc_id, coalesce(n, 0) AS n_shingles, min(y) AS component_id
+FROM reach LEFT JOIN sizes ON x = doc_id GROUP BY ALL"""
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a GIF, decoded, and described by what was decoded."""
     return gif.payload_features(gif.store_texts(table(spark, sf_dir, "documents")))
@@ -63,6 +114,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
+    "op3_decontaminate": (op3_decontaminate, OP3_SQL),
+    "op6_jaccard_join": (op6_jaccard_join, OP6_SQL),
     "op7_media": (op7_media, None),
     "op9_mix": (op9_mix, None),
     "op10_token_counts": (op10_token_counts, None),

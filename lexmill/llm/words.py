@@ -138,6 +138,17 @@ def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
+def sequence_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """As ``gram_hashes``, for sequences shorter than a shingle that stand for themselves."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    total = np.zeros(n, dtype=np.uint64)
+    for k in range(size):
+        total += hashes[k : k + n] * _PLACES[k]
+    return mix(total + np.uint64(size))
+
+
 def shingle_sets(words: Words, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts end to end, and the bounds of each text.
 
