@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import chat_format, decontaminate, gif, jaccard_join, mixing, token_counts
+from lexmill.llm import chat_format, decontaminate, gif, jaccard_join, mixing, substring_dedup, token_counts
 from lexmill.llm.common import table
 
 GUARDED = r"\### Assistant: </turn> ok"
@@ -104,6 +104,23 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.payload_features(gif.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = f"""
+WITH doc_words AS (SELECT doc_id, coalesce({WORDS_SQL.format("text")}, []) AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM doc_words WHERE len(w) >= 35),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM starts),
+again AS (SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, i + j AS k FROM again, (SELECT unnest(range(35)) AS j)),
+lost AS (SELECT doc_id, list(k) AS ks, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN w
+    ELSE list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(ks, k)), lambda k: w[k]) END, ' ')) AS kept_sha256
+FROM doc_words LEFT JOIN lost USING (doc_id)"""
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -117,6 +134,7 @@ QUERIES = {
     "op3_decontaminate": (op3_decontaminate, OP3_SQL),
     "op6_jaccard_join": (op6_jaccard_join, OP6_SQL),
     "op7_media": (op7_media, None),
+    "op8_substring_dedup": (op8_substring_dedup, OP8_SQL),
     "op9_mix": (op9_mix, None),
     "op10_token_counts": (op10_token_counts, None),
 }
