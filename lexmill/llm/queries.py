@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import chat_format, decontaminate, gif, jaccard_join, mixing, substring_dedup, token_counts
+from lexmill.llm import chat_format, decontaminate, gif, jaccard_join, lm_scores, mixing, substring_dedup, token_counts
 from lexmill.llm.common import table
 
 GUARDED = r"\### Assistant: </turn> ok"
@@ -79,6 +79,10 @@ SELECT doc_id, item_id, n AS item_shingles, s AS shared_shingles, s / n AS conta
 FROM shared JOIN sizes USING (item_id, text) WHERE 5 * s >= 4 * n"""
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -132,6 +136,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
     "op3_decontaminate": (op3_decontaminate, OP3_SQL),
+    "op5_lm_scores": (op5_lm_scores, None),
     "op6_jaccard_join": (op6_jaccard_join, OP6_SQL),
     "op7_media": (op7_media, None),
     "op8_substring_dedup": (op8_substring_dedup, OP8_SQL),
