@@ -82,16 +82,21 @@ def segments(found: words.Words) -> tuple[np.ndarray, ...]:
         begins = np.repeat(begins, pieces) + part * MOST_WINDOWS
         lengths = np.minimum(np.repeat(lengths, pieces) - part * MOST_WINDOWS, MOST_WINDOWS)
     first, anchor, text = at[begins], value[begins], row[begins]
-    same = np.zeros(len(grams) + 1, dtype=np.int64)
-    ends = first + lengths + width - 1
-    hit = np.zeros(len(grams) + 1, dtype=np.int64)
-    for k in range(width):  # a gram that is the least of the window it ends, or of one up to a width later
-        hit[k : k + n] |= (grams[k : k + n] == least) & inside
-    np.cumsum(hit[:-1], out=same[1:])
-    places = same[ends] - same[first]
+    places = _places_of(anchor, first, first + lengths + width - 1, grams)
     return text, first - found.bounds[text], lengths, anchor.view(np.int64), places, _span_digest(hashes, first, first + lengths + WINDOW - 1).view(np.int64)
 
 
+def _places_of(anchor: np.ndarray, first: np.ndarray, end: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """How many grams of each range equal the range's anchor."""
+    known = np.unique(anchor)
+    rank = np.searchsorted(known, grams)
+    rank[rank == len(known)] = 0
+    at = np.flatnonzero(known[rank] == grams)
+    line = np.sort(rank[at] * (len(grams) + 1) + at)  # by gram, then by place
+    base = np.searchsorted(known, anchor) * (len(grams) + 1)
+    return np.searchsorted(line, base + end) - np.searchsorted(line, base + first)
+
+
 def _places(docs: DataFrame) -> DataFrame:
     """``(doc, text_hash, first, windows, anchor, places, digest)`` of all segments."""
 
@@ -116,12 +121,14 @@ def _places(docs: DataFrame) -> DataFrame:
 
 
 def _segment_texts(docs: DataFrame, wanted: DataFrame, hot: bool) -> DataFrame:
-    """The texts of ``wanted(doc, text_hash, anchor, digest, first, windows, weight)``; of ``hot`` ones, of each window."""
+    """The texts of ``wanted(doc, text_hash, anchor, digest, first, windows, weight)``; of ``hot`` ones, of each window.
+
+    A document that is there twice tells its texts twice.
+    """
     item = F.struct("anchor", "digest", "first", "windows", "weight")
     grouped = wanted.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_list(item).alias("items"))
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
-    joined = docs.join(grouped, same).select("_doc", "_hash", "items", "text").dropDuplicates(["_doc", "_hash"])
-    joined = joined.select("items", "text")
+    joined = docs.join(grouped, same).select("items", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,6 +195,11 @@ def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 
 def _intervals(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     hashes, counts, anchor, digest, single, weight = (np.concatenate(x) for x in zip(*held, strict=True))
+    first = np.unique(np.stack([anchor, digest, single], axis=1), axis=0, return_index=True)[1]
+    if len(first) < len(anchor):  # told twice
+        own = np.zeros(len(anchor), dtype=bool)
+        own[first] = True
+        hashes, counts, anchor, digest, single, weight = hashes[np.repeat(own, counts)], *(x[own] for x in (counts, anchor, digest, single, weight))
     index = FMIndex(hashes, np.r_[0, np.cumsum(counts)].astype(np.int64), weight)
     seq, first, end = index.repeated(WINDOW)
     order = np.argsort(seq, kind="stable")
@@ -216,8 +228,10 @@ def repeated_spans(docs: DataFrame, shard_words: int = SHARD_WORDS, hot_segments
     crowded = distinct.groupBy("anchor").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_segments).select("anchor")
     crowded = kept(crowded)
     units = _segment_texts(rows, distinct.join(crowded, "anchor", "left_anti"), hot=False).select("anchor", "digest", "weight", "text")
-    pieces = _segment_texts(rows, distinct.join(crowded, "anchor", "left_semi"), hot=True)
-    pieces = kept(pieces) if crowded.head(1) else None
+    pieces = None
+    if crowded.head(1):
+        pieces = _segment_texts(rows, distinct.join(crowded, "anchor", "left_semi"), hot=True)
+        pieces = kept(pieces.dropDuplicates(["anchor", "digest", "shift"]))
     if pieces is not None:
         windows = pieces.groupBy("window").agg(F.sum("weight").alias("weight"), F.first("text").alias("text"))
         one = F.lit(None).cast("bigint").alias("digest")  # marks a row that is one window
