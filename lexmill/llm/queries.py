@@ -6,7 +6,18 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import chat_format, decontaminate, gif, jaccard_join, lm_scores, mixing, substring_dedup, token_counts
+from lexmill.llm import (
+    chat_format,
+    decontaminate,
+    gif,
+    jaccard_join,
+    language,
+    lm_scores,
+    mixing,
+    quality,
+    substring_dedup,
+    token_counts,
+)
 from lexmill.llm.common import table
 
 GUARDED = r"\### Assistant: </turn> ok"
@@ -56,6 +67,10 @@ def _lower_words(text: str) -> str:
     return WORDS_SQL.format(LOWER_SQL.format(text))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -79,6 +94,10 @@ SELECT doc_id, item_id, n AS item_shingles, s AS shared_shingles, s / n AS conta
 FROM shared JOIN sizes USING (item_id, text) WHERE 5 * s >= 4 * n"""
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores.lm_scores(table(spark, sf_dir, "documents"))
 
@@ -135,7 +154,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
+    "op2_quality": (op2_quality, None),
     "op3_decontaminate": (op3_decontaminate, OP3_SQL),
+    "op4_language": (op4_language, None),
     "op5_lm_scores": (op5_lm_scores, None),
     "op6_jaccard_join": (op6_jaccard_join, OP6_SQL),
     "op7_media": (op7_media, None),
