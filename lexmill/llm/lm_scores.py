@@ -35,8 +35,8 @@ from lexmill.llm.lm_trie import Trie
 
 HELD_OUT_FOLD = 1
 PRIOR = 1000.0
-SHARD_BYTES = 24 << 20
-SLICE_BYTES = 8 << 20
+SHARD_BYTES = 12 << 20
+SLICE_BYTES = 3 << 20
 HOT_WORDS, HOT_PAIRS = 10_000, 1_000_000  # a hot word is above one such part of all tokens
 LEAST_HOT_WORD, LEAST_HOT_PAIR = 10_000, 1_000
 END = np.uint64(0x5851F42D4C957F2D)  # the end token among word hashes
