@@ -53,6 +53,7 @@ class Measures:
     bare_share: np.ndarray  # words without letter or digit
     mean_length: np.ndarray
     stop_share: np.ndarray  # words that end a sentence
+    tail_share: np.ndarray  # words that end in a sign
     shapes: np.ndarray  # of all words, end to end
     bounds: np.ndarray
 
@@ -92,6 +93,7 @@ def measure(texts: pa.Array) -> Measures:
         per_text((letter + digit) == 0) / some,
         per_text(size) / some,
         per_text(last == ord(".")) / some,
+        per_text(_SIGN[last] & (letter > 0)) / some,
         shapes,
         found.bounds,
     )
@@ -112,11 +114,12 @@ def votes(m: Measures) -> np.ndarray:
         _vote(m.bare_share > 0.1, m.bare_share < 0.01, some),
         _vote((m.mean_length > 12) | (m.mean_length < 2), (m.mean_length > 3) & (m.mean_length < 8), some),
         _vote(m.stop_share < 0.005, (m.stop_share > 0.03) & (m.stop_share < 0.35), many),
+        _vote(m.tail_share > 0.2, m.tail_share < 0.05, some),
     )
     return np.stack(columns, axis=1)
 
 
-LABELLERS = 7
+LABELLERS = 8
 
 
 def patterns(m: Measures) -> np.ndarray:
