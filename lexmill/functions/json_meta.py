@@ -12,15 +12,30 @@ from lexmill.functions.text import js_trim
 VARIANT_MAP = "map<string,variant>"
 
 
+# Strings of any length are read (a stored file is one string), and nothing beyond plain JSON.
+READ_OPTIONS = {
+    "maxStringLen": "2147483647",
+    "maxNumLen": "1000000",
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+}
+END_MARK = "\u0001end\u0001"
+
+
 def safe_json_parse(text: Column) -> Column:
     """The parsed value as a variant; null for null, blank and invalid text.
 
-    Spark's parser stops after the first value. Put into an array and into an
-    object, only a text that is one value alone is closed properly by both.
+    Spark's parser stops after the first value. So the text is read as the first
+    of two list entries: only one value alone is followed by the end mark.
+    An object that repeats a key keeps its last value, see ``session.prepare``.
     """
-    in_array = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return let(in_array, lambda values: F.when((F.size(values) == 1) & in_object.isNotNull(), F.get(values, F.lit(0))))
+    listed = F.concat(F.lit("["), text, F.lit(r',"\u0001end\u0001"]'))
+
+    def alone(values: Column) -> Column:
+        ended = (F.size(values) == 2) & (F.try_variant_get(F.get(values, F.lit(1)), "$", "string") == END_MARK)
+        return F.when(ended, F.get(values, F.lit(0)))
+
+    return let(F.from_json(listed, "array<variant>", READ_OPTIONS), alone)
 
 
 def is_valid_json(text: Column) -> Column:
@@ -66,25 +81,36 @@ def merge_json_meta(json_text: Column, patch: Column) -> Column:
 
 def patch_from_json(text: Column, keys: tuple[str, ...] | None = None) -> Column:
     """A request body as a patch map, reduced to ``keys`` when they are given."""
-    entries = object_map(safe_json_parse(text))
+    return let(safe_json_parse(text), lambda parsed: parsed_patch(parsed, keys))
+
+
+def parsed_patch(parsed: Column, keys: tuple[str, ...] | None = None) -> Column:
+    entries = object_map(parsed)
     if keys is None:
         return entries
     return F.map_filter(entries, lambda key, _: key.isin(*keys))
 
 
+def is_unreadable(text: Column, parsed: Column) -> Column:
+    """A text that is there and is no JSON value."""
+    return parsed.isNull() & (js_trim(text) != "")
+
+
 def meta_text(parsed: Column, key: str) -> Column:
     return F.try_variant_get(parsed, f"$.meta.{key}", "string")
 
 
 def meta_view(json_text: Column, file_name: Column) -> Column:
     """``struct(title, category, description)`` for the edit form."""
-    return let(
-        safe_json_parse(json_text),
-        lambda parsed: F.struct(
-            F.coalesce(meta_text(parsed, "title"), file_name, F.lit("")).alias("title"),
-            F.coalesce(meta_text(parsed, "category"), F.lit("")).alias("category"),
-            F.coalesce(meta_text(parsed, "description"), F.lit("")).alias("description"),
-        ),
+    return let(safe_json_parse(json_text), lambda parsed: parsed_view(parsed, file_name))
+
+
+def parsed_view(parsed: Column, file_name: Column) -> Column:
+    """``meta_view`` of a text that is parsed already."""
+    return F.struct(
+        F.coalesce(meta_text(parsed, "title"), file_name, F.lit("")).alias("title"),
+        F.coalesce(meta_text(parsed, "category"), F.lit("")).alias("category"),
+        F.coalesce(meta_text(parsed, "description"), F.lit("")).alias("description"),
     )
 
 

@@ -37,6 +37,7 @@ HISTORY_COLUMNS = {
     "UpdatedAt": TimestampType(),
     "DeletedAt": TimestampType(),
 }
+UNREADABLE = "invalid JSON"
 META_KEYS = ("title", "category", "description", "signaturePlacement", "pagesImages", "pagesOriginalNames")
 SIGNATURE_KEYS = ("signatureADataUrl", "signatureBDataUrl")
 
@@ -264,12 +265,21 @@ def signature_patch_error(body: Column) -> Column:
     return F.coalesce(*[F.when(~_given(body, key, valid(key)), F.lit(key)) for key in SIGNATURE_KEYS])
 
 
+def judged_patches(patches: DataFrame, text: str, keys: tuple[str, ...], error_of) -> DataFrame:
+    """Adds ``_body``, the patch reduced to ``keys``, and ``error``: the invalid key, or that it cannot be read."""
+
+    def judge(parsed: Column) -> Column:
+        unreadable = F.when(meta.is_unreadable(F.col(text), parsed), F.lit(UNREADABLE))
+        return let(
+            meta.parsed_patch(parsed, keys),
+            lambda body: F.struct(body.alias("_body"), F.coalesce(unreadable, error_of(body)).alias("error")),
+        )
+
+    return expand(patches, patches.columns, let(meta.safe_json_parse(F.col(text)), judge))
+
+
 def _patch(df: DataFrame, patches: DataFrame, as_of, keys, error_of, order: str) -> tuple[DataFrame, DataFrame]:
-    read = let(
-        meta.patch_from_json(F.col("patch"), keys),
-        lambda body: F.struct(body.alias("_body"), error_of(body).alias("error")),
-    )
-    judged = expand(patches, patches.columns, read)
+    judged = judged_patches(patches, "patch", keys, error_of)
     sound = judged.where(F.col("error").isNull())
     bodies = merge_patches(sound.select("Id", order, "_body"), "Id", [order], "_body", keys)
     fresh = bodies.withColumn("_asked", F.lit(True))
@@ -305,7 +315,8 @@ def update_meta(df: DataFrame, patches: DataFrame, as_of, order: str = "seq") ->
     """``(updated, rejected)``: JSON patches ``(Id, patch, seq)`` laid over ``meta``.
 
     An absent key is unchanged and an explicit null is stored. Records in the
-    trash are patched too. Rejected rows carry the invalid key or "not found".
+    trash are patched too. Rejected rows carry the invalid key, "invalid JSON" or
+    "not found".
     """
     return _patch(df, patches, as_of, META_KEYS, meta_patch_error, order)
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import fixed_values as V
-from lexmill.functions.json_meta import meta_view
+from lexmill.functions.binding import expand, let
+from lexmill.functions.json_meta import meta_text, parsed_view, safe_json_parse
 from lexmill.operators import history as op
 from lexmill.operators.extraction import extract_contract_text
 from lexmill.operators.fold import fold_history
@@ -155,15 +156,16 @@ def meta_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def update_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     updated, _ = op.update_meta(history(spark, sf_dir, heavy=True), meta_patches(spark, sf_dir), AS_OF_ORDERS)
-    viewed = updated.withColumn("view", meta_view(F.col("AnalysisJson"), F.col("FileName")))
-    return viewed.select(
-        "Id",
-        "view.title",
-        "view.category",
-        F.coalesce(F.get_json_object("AnalysisJson", "$.meta.signaturePlacement.a.w"), F.lit("")).alias("width"),
-        F.coalesce(F.get_json_object("AnalysisJson", "$.meta.kept"), F.lit("")).alias("kept"),
-        stamp("UpdatedAt").alias("UpdatedAt"),
+    told = let(
+        safe_json_parse(F.col("AnalysisJson")),
+        lambda parsed: F.struct(
+            parsed_view(parsed, F.col("FileName")).alias("view"),
+            F.coalesce(meta_text(parsed, "signaturePlacement.a.w"), F.lit("")).alias("width"),
+            F.coalesce(meta_text(parsed, "kept"), F.lit("")).alias("kept"),
+        ),
     )
+    viewed = expand(updated, ["Id", "UpdatedAt"], told)
+    return viewed.select("Id", "view.title", "view.category", "width", "kept", stamp("UpdatedAt").alias("UpdatedAt"))
 
 
 _META_PATCHES = """(

@@ -141,12 +141,13 @@ LINES_SQL = f"""
 
 
 def json_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole, cut, empty and list-bearing copies of each JSON text."""
+    """Whole, cut, empty and list-bearing copies of each JSON text, one that repeats its keys, and one that goes on."""
     half = F.expr("substring(props, 1, length(props) - 1)")
     listed = F.concat(F.lit('{"legaldocuments":['), "props", F.lit(","), "props", F.lit("]}"))
-    texts = table(spark, sf_dir, "events").select(
-        "event_id", F.posexplode(F.array("props", half, F.lit(""), listed)).alias("copy", "text")
-    )
+    twice = F.concat(half, F.lit(","), F.expr("substring(props, 2)"))
+    longer = F.concat("props", F.lit("]"))
+    copies = F.array("props", half, F.lit(""), listed, twice, longer)
+    texts = table(spark, sf_dir, "events").select("event_id", F.posexplode(copies).alias("copy", "text"))
     told = json_validity(texts, "text")
     return told.select(
         "event_id", "copy", F.col("is_valid").cast("int").alias("valid"), F.coalesce("n_documents", F.lit(-1)).alias("n")
@@ -156,8 +157,9 @@ def json_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 JSON_VALID_SQL = """
     SELECT event_id, copy::INTEGER AS copy, (text <> '' AND json_valid(text))::INTEGER AS valid,
       CASE WHEN copy = 3 THEN 2 ELSE -1 END AS n
-    FROM (SELECT event_id, unnest(range(4)) AS copy, unnest([props, substr(props, 1, length(props) - 1), '',
-      '{"legaldocuments":[' || props || ',' || props || ']}']) AS text FROM events)"""
+    FROM (SELECT event_id, unnest(range(6)) AS copy, unnest([props, substr(props, 1, length(props) - 1), '',
+      '{"legaldocuments":[' || props || ',' || props || ']}',
+      substr(props, 1, length(props) - 1) || ',' || substr(props, 2), props || ']']) AS text FROM events)"""
 
 
 def clean_answers(spark: SparkSession, sf_dir: str) -> DataFrame:

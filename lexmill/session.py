@@ -9,6 +9,9 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+LAST_KEY_WINS = "spark.sql.variant.allowDuplicateKeys"
+
+
 def build_session(app_name: str = "lexmill", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for.
 
@@ -22,6 +25,7 @@ def build_session(app_name: str = "lexmill", master: str | None = None, **conf:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config(LAST_KEY_WINS, "true")
     )
     if master:
         builder = builder.master(master)
@@ -30,6 +34,13 @@ def build_session(app_name: str = "lexmill", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def prepare(spark: SparkSession) -> None:
+    """What the operators need of a session that was built elsewhere: the package in its workers, and JSON
+    objects that repeat a key read as their last value instead of as invalid."""
+    spark.conf.set(LAST_KEY_WINS, "true")
+    ship_package(spark)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers, once per application.
 

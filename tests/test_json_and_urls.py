@@ -22,13 +22,24 @@ def test_merge(one):
     assert merged(one, "", None) == {"meta": {}}
 
 
+def test_merge_loses_nothing(one, spark):
+    assert merged(one, '{"summary":"keep","a":1,"a":2}', '{"title":"t"}') == {"summary": "keep", "a": 2, "meta": {"title": "t"}}
+    size = 25_000_000
+    stored = F.concat(F.lit('{"summary":"keep","meta":{"originalFileDataUrl":"'), F.repeat(F.lit("x"), F.lit(size)), F.lit('"}}'))
+    text = one(J.merge_json_meta(stored, J.patch_from_json(F.lit('{"title":"t"}'))))
+    kept = json.loads(text)
+    assert kept["summary"] == "keep" and kept["meta"]["title"] == "t" and len(kept["meta"]["originalFileDataUrl"]) == size
+
+
 def test_merge_under_any_key_policy(spark, one):
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "EXCEPTION")
     assert merged(one, '{"meta":{"a":1}}', '{"a":2}') == {"meta": {"a": 2}}
 
 
 def test_parse(one):
-    for text, ok in (('{"a":1}', True), ("[1]", True), ("", False), (None, False), ("{", False)):
+    valid = ('{"a":1}', "[1]", " 1 ", "null", '"s"', '{"a":1,"a":2}')
+    invalid = ("", " ", None, "{", "1,2", "1 x", '{"a":1}]', '{"a":1}] x', "{'a':1}", '{"a":NaN}', '1,"\\u0001end\\u0001"')
+    for text, ok in [*((t, True) for t in valid), *((t, False) for t in invalid)]:
         assert one(J.is_valid_json(F.lit(text).cast("string"))) is ok
 
 
