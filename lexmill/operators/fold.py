@@ -1,43 +1,73 @@
 """A log of history commands folded into the table it leaves behind.
 
 The order of commands matters only per record, and one record may own a large
-share of the log. So the log is cut into time slices of about equal size, a
-window works on the commands of one record in one slice, and each such piece
-is summed up in one row. A record then folds its few pieces in time order.
+share of the log. So the log is cut into slices of about equal size along its
+order (time, then number), a window works on the commands of one record in one
+slice, and each such piece is summed up in one row. A record then folds its few
+pieces in order.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill import fixed_values as V
 from lexmill.functions import json_meta as meta
-from lexmill.session import shuffle_width
+from lexmill.functions.binding import expand, let
+from lexmill.operators.history import META_KEYS, UNREADABLE, meta_patch_error
 
 SLICE_ROWS = 1_000_000
 
 
+def judge_commands(commands: DataFrame, keys: tuple[str, ...] = META_KEYS, error_of=meta_patch_error) -> DataFrame:
+    """Adds ``_body`` and ``error`` to the log: each patch read once, under the rules of a direct change.
+
+    ``_body`` is a patch reduced to ``keys``; ``error`` names its invalid key, or says that it cannot be read.
+    """
+
+    def judge(parsed: Column) -> Column:
+        unreadable = F.when(meta.is_unreadable(F.col("body"), parsed), F.lit(UNREADABLE))
+        return let(
+            meta.parsed_patch(parsed, keys),
+            lambda body: F.struct(body.alias("_body"), F.coalesce(unreadable, error_of(body)).alias("error")),
+        )
+
+    patch = F.when(F.col("cmd") == "patch", F.col("body"))
+    return expand(commands, commands.columns, let(meta.safe_json_parse(patch), judge)).withColumn(
+        "error", F.when(F.col("cmd") == "patch", F.col("error"))
+    )
+
+
 def fold_history(
     commands: DataFrame,
     as_of,
     days: int = V.RETENTION_DAYS,
-    keys: tuple[str, ...] | None = None,
+    keys: tuple[str, ...] = META_KEYS,
+    error_of=meta_patch_error,
     slices: int | None = None,
-) -> DataFrame:
-    """``(Id, CreatedAt, UpdatedAt, DeletedAt, AnalysisJson)`` of surviving records.
+) -> tuple[DataFrame, DataFrame]:
+    """``(records, refused)``.
+
+    ``records`` are the survivors, ``(Id, CreatedAt, UpdatedAt, DeletedAt, AnalysisJson)``;
+    ``refused`` are the patches that a direct change would refuse, with ``error``. They have no effect.
 
     ``commands`` holds ``Id, ts, seq, cmd, body`` with cmd one of save, delete,
     restore, patch, purge (others have no effect); ``body`` is JSON text: the
-    analysis of a save, the meta patch of a patch. ``keys`` limits patch keys.
+    analysis of a save, the meta patch of a patch. ``keys`` are the keys a patch
+    may set; others are left out.
 
     Commands before a record's first save find nothing, later saves are
     ignored, a purge is final, and a record that stays in the trash for more
     than ``days`` days is removed, whatever comes after.
     """
-    log = commands.where(F.col("cmd").isin("save", "delete", "restore", "patch", "purge"))
-    states = _fold_states(_pieces(time_slices(log, "ts", slices), days), days)
+    known = commands.where(F.col("cmd").isin("save", "delete", "restore", "patch", "purge"))
+    judged = judge_commands(known, keys, error_of)
+    log = judged.where(F.col("error").isNull())
+    # The order does not need the bodies, so only the narrow columns are cut into slices.
+    states = _fold_states(_pieces(slice_log(log.select("Id", "ts", "seq", "cmd"), slices), days), days)
     cutoff = F.lit(as_of).cast(commands.schema["ts"].dataType) - F.make_dt_interval(F.lit(days))
     kept = states.where(F.col("saved") & ~F.col("gone")).where(
         F.col("DeletedAt").isNull() | (F.col("DeletedAt") >= cutoff)
@@ -45,34 +75,30 @@ def fold_history(
     bodies = (
         log.where(F.col("cmd") == "save").groupBy("Id").agg(F.min_by("body", F.struct("ts", "seq")).alias("_saved"))
     )
-    joined = kept.join(bodies, "Id").join(_last_values(log, keys), "Id", "left")
+    joined = kept.join(bodies, "Id").join(_last_values(log), "Id", "left")
     later = F.filter("_values", lambda value: value["at"] > F.col("created"))
     patch = F.map_from_entries(F.transform(later, lambda value: F.struct(value["key"], value["value"])))
-    return joined.select(
+    records = joined.select(
         "Id",
         F.col("created.ts").alias("CreatedAt"),
         F.greatest("DeletedAt", "UpdatedAt").alias("UpdatedAt"),
         "DeletedAt",
         meta.merge_json_meta(F.col("_saved"), patch).alias("AnalysisJson"),
     )
+    return records, judged.where(F.col("error").isNotNull()).select(*commands.columns, "error")
 
 
-def time_slices(log: DataFrame, ts: str, slices: int | None = None) -> DataFrame:
-    """Adds ``slice``: 0, 1, ... along time, with about equally many rows each."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
+def slice_log(log: DataFrame, slices: int | None = None) -> DataFrame:
+    """Adds ``slice``: 0, 1, ... along (ts, seq), with about equally many rows each.
+
+    As many slices as the log needs: a slice of ``SLICE_ROWS`` stays a slice of
+    that size however long the log is, and whether or not all times are equal.
+    """
     if slices is None:
-        rows = log.count()
-        slices = min(shuffle_width(log.sparkSession), 1 + rows // SLICE_ROWS)
-    cuts: list[float] = []
-    if slices > 1:
-        shares = [i / slices for i in range(1, slices)]
-        found = log.agg(F.percentile_approx(micros, shares, 10_000).alias("cuts")).first()["cuts"]
-        cuts = sorted(set(found or []))
-    if not cuts:
-        return log.withColumn("slice", F.lit(0.0))
-    splits = [-float("inf"), *cuts, float("inf")]
-    placed = Bucketizer(splits=splits, inputCol="_micros", outputCol="slice").transform(log.withColumn("_micros", micros))
-    return placed.drop("_micros")
+        slices = max(1, math.ceil(log.count() / SLICE_ROWS))
+    if slices == 1:
+        return log.withColumn("slice", F.lit(0))
+    return log.repartitionByRange(slices, "ts", "seq").withColumn("slice", F.spark_partition_id())
 
 
 def _pieces(log: DataFrame, days: int) -> DataFrame:
@@ -161,12 +187,10 @@ def _fold_states(pieces: DataFrame, days: int) -> DataFrame:
     return folded.select("Id", "_state.*")
 
 
-def _last_values(log: DataFrame, keys: tuple[str, ...] | None) -> DataFrame:
-    """``(Id, _values)``: last value of each patched key with its place in the log."""
+def _last_values(log: DataFrame) -> DataFrame:
+    """``(Id, _values)``: last value of each patched key (one of a short list) with its place in the log."""
     patches = log.where(F.col("cmd") == "patch").select(
-        "Id",
-        F.struct("ts", "seq").alias("_at"),
-        F.explode_outer(meta.patch_from_json(F.col("body"), keys)).alias("_key", "_value"),
+        "Id", F.struct("ts", "seq").alias("_at"), F.explode_outer("_body").alias("_key", "_value")
     ).where(F.col("_key").isNotNull())
     last = patches.groupBy("Id", "_key").agg(F.max("_at").alias("_last"), F.max_by("_value", "_at").alias("_value"))
     value = F.struct(F.col("_key").alias("key"), F.col("_value").alias("value"), F.col("_last").alias("at"))

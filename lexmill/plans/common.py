@@ -152,6 +152,12 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def command_log(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     k = F.get_json_object("props", "$.k").cast("int")
+    # Patches: some are no JSON, some have an invalid value, all have a key that no patch may set.
+    patch = (
+        F.when(k % 7 == 1, F.lit("broken"))
+        .when(k % 5 == 0, F.concat(F.lit('{"pagesImages":[],"title":"'), k, F.lit('"}')))
+        .otherwise(F.concat(F.lit('{"evil":1,"title":"'), k, F.lit('"}')))
+    )
     cmd = (
         F.when(kind == "signup", "save")
         .when(kind == "error", "delete")
@@ -161,13 +167,17 @@ def command_log(events: DataFrame) -> DataFrame:
         .otherwise("read")
     )
     return events.select(
-        F.col("user_id").alias("Id"), "ts", F.col("event_id").alias("seq"), cmd.alias("cmd"), F.col("props").alias("body")
+        F.col("user_id").alias("Id"), "ts", F.col("event_id").alias("seq"), cmd.alias("cmd"),
+        F.when(cmd == "patch", patch).otherwise(F.col("props")).alias("body"),
     )
 
 
 COMMANDS_SQL = """(
     SELECT user_id AS Id, ts::TIMESTAMP AS ts, event_id AS seq, (props->>'$.k')::INTEGER AS k,
       CASE WHEN event_type = 'signup' THEN 'save' WHEN event_type = 'error' THEN 'delete'
-        WHEN event_type = 'purchase' THEN 'restore' WHEN event_type = 'click' THEN 'patch'
+        WHEN event_type = 'purchase' THEN 'restore'
+        WHEN event_type = 'click' AND (props->>'$.k')::INTEGER % 7 = 1 THEN 'refused: invalid JSON'
+        WHEN event_type = 'click' AND (props->>'$.k')::INTEGER % 5 = 0 THEN 'refused: pagesImages'
+        WHEN event_type = 'click' THEN 'patch'
         WHEN event_type = 'view' AND (props->>'$.k')::INTEGER < 2 THEN 'purge' ELSE 'read' END AS cmd
     FROM events)"""

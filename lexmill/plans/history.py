@@ -262,16 +262,26 @@ EXPORT_SQL = f"""
 
 
 def folded(df: DataFrame) -> DataFrame:
-    k = F.coalesce(F.get_json_object("AnalysisJson", "$.meta.k"), F.lit(""))
-    return df.select("Id", *[stamp(name).alias(name) for name in DATES], k.alias("k"))
+    title, evil = (F.coalesce(F.get_json_object("AnalysisJson", f"$.meta.{key}"), F.lit("")) for key in ("title", "evil"))
+    return df.select("Id", *[stamp(name).alias(name) for name in DATES], title.alias("title"), evil.alias("evil"))
 
 
 def history_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folded(fold_history(commands(spark, sf_dir), AS_OF_EVENTS))
+    records, _ = fold_history(commands(spark, sf_dir), AS_OF_EVENTS)
+    return folded(records)
 
 
+def history_fold_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's patches that have no effect, with what is wrong."""
+    _, refused = fold_history(commands(spark, sf_dir), AS_OF_EVENTS)
+    return refused.select("Id", "seq", "error")
+
+
+FOLD_REFUSED_SQL = f"""
+    SELECT Id, seq, substr(cmd, 10) AS error FROM {COMMANDS_SQL} WHERE starts_with(cmd, 'refused')"""
+
 FOLD_SQL = f"""
-    WITH log AS (SELECT *, {{'ts': ts, 'seq': seq}} AS pos FROM {COMMANDS_SQL} WHERE cmd <> 'read'),
+    WITH log AS (SELECT *, {{'ts': ts, 'seq': seq}} AS pos FROM {COMMANDS_SQL} WHERE cmd <> 'read' AND NOT starts_with(cmd, 'refused')),
     first AS (SELECT Id, min(pos) AS born FROM log WHERE cmd = 'save' GROUP BY Id),
     later AS (SELECT l.*, f.born FROM log l JOIN first f USING (Id) WHERE l.pos > f.born),
     flips AS (SELECT *, lag(cmd) OVER w AS before,
@@ -287,7 +297,7 @@ FOLD_SQL = f"""
         CASE WHEN e.last_cmd = 'delete' THEN e.last_ts END AS DeletedAt, p.k
       FROM first f LEFT JOIN ends e USING (Id) LEFT JOIN patches p USING (Id)
       WHERE f.Id NOT IN (SELECT Id FROM later WHERE cmd = 'purge') AND coalesce(e.swept, false) = false)
-    SELECT Id, {', '.join(f'{sql_stamp(name)} AS {name}' for name in DATES)}, coalesce(k::VARCHAR, '') AS k
+    SELECT Id, {', '.join(f'{sql_stamp(name)} AS {name}' for name in DATES)}, coalesce(k::VARCHAR, '') AS title, '' AS evil
     FROM final
     WHERE DeletedAt IS NULL OR DeletedAt >= TIMESTAMP '{AS_OF_EVENTS}' - INTERVAL {V.RETENTION_DAYS} DAY"""
 
@@ -346,4 +356,5 @@ QUERIES = {
     "backfill_text": (backfill_text, BACKFILL_SQL),
     "export_text": (export_text, EXPORT_SQL),
     "history_fold": (history_fold, FOLD_SQL),
+    "history_fold_refused": (history_fold_refused, FOLD_REFUSED_SQL),
 }

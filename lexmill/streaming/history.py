@@ -8,9 +8,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexmill import fixed_values as V
+from lexmill.functions.json_meta import object_map, safe_json_parse
+from lexmill.operators.fold import judge_commands
+from lexmill.operators.history import META_KEYS, meta_patch_error
 from lexmill.operators.joins import last_per_key
 
 DAY_MICROS = 24 * 60 * 60 * 1_000_000
@@ -66,12 +70,20 @@ def _row(key: int, record: dict) -> pd.DataFrame:
     )
 
 
-def streaming_history(commands: DataFrame, delay: str = "10 minutes", days: int = V.RETENTION_DAYS) -> DataFrame:
+def streaming_history(
+    commands: DataFrame,
+    delay: str = "10 minutes",
+    days: int = V.RETENTION_DAYS,
+    keys: tuple[str, ...] = META_KEYS,
+    error_of=meta_patch_error,
+) -> DataFrame:
     """Versions of records as commands take effect: the newest per Id is the table.
 
     Commands may arrive out of order within ``delay``: they wait until the
     watermark has passed them and are then applied in event-time order. State
-    per record is its own row and the commands that wait.
+    per record is its own row and the commands that wait; of a record that is
+    gone only that fact is left. Refused patches have no effect. Rows later than
+    the watermark are dropped and counted by Spark, see ``late_commands``.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -90,14 +102,28 @@ def streaming_history(commands: DataFrame, delay: str = "10 minutes", days: int
             apply_command(record, at, cmd, body, days)
         if due:
             record["version"] += 1
+        if record["gone"]:
+            waiting = []  # nothing can change it any more
+            gone = _row(key[0], record) if due else None
+            state.update((json.dumps({**new_record(), "gone": True, "born": record["born"], "version": record["version"]}), "[]"))
+            if gone is not None and record["born"] is not None:
+                yield gone
+            return
         state.update((json.dumps(record), json.dumps(waiting)))
         if waiting:
             state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, mark // 1000 + 1))
         if due and record["born"] is not None:
             yield _row(key[0], record)
 
+    known = commands.where(F.col("cmd").isin("save", "delete", "restore", "patch", "purge"))
+    # The JSON rules are those of the batch form: what reaches the state has been read and written by Spark.
+    read = F.when(F.col("cmd") == "patch", F.to_json("_body")).when(
+        F.col("cmd") == "save", F.to_json(object_map(safe_json_parse(F.col("body"))))
+    )
     log = (
-        commands.where(F.col("cmd").isin("save", "delete", "restore", "patch", "purge"))
+        judge_commands(known, keys, error_of)
+        .where(F.col("error").isNull())
+        .withColumn("body", read)
         .withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
         # A watermark counts whole milliseconds: the next one passes every command of this one.
         .withColumn("ts", F.timestamp_micros(F.col("micros") + 1000))
@@ -107,6 +133,11 @@ def streaming_history(commands: DataFrame, delay: str = "10 minutes", days: int
     return log.groupBy("Id").applyInPandasWithState(update, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def late_commands(query: StreamingQuery) -> int:
+    """Commands of a running or ended query that came after the watermark had passed them."""
+    return sum(int(op.numRowsDroppedByWatermark) for progress in query.recentProgress for op in progress.stateOperators)
+
+
 def current_records(versions: DataFrame, as_of, days: int = V.RETENTION_DAYS) -> DataFrame:
     """Surviving records from the versions a stream has written."""
     newest = last_per_key(versions, "Id", ["version"]).where(~F.col("gone"))

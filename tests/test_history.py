@@ -219,12 +219,30 @@ LOG = "Id bigint, ts timestamp, seq bigint, cmd string, body string"
 def test_fold_equals_simulation(spark, seed, days, slices):
     log, as_of = random_log(seed), datetime(2024, 3, 15)
     df = spark.createDataFrame(log, LOG).repartition(4)
-    assert state(fold_history(df, as_of, days, slices=slices)) == simulate(log, as_of, days)
+    records, refused = fold_history(df, as_of, days, keys=tuple("abc"), slices=slices)
+    assert state(records) == simulate(log, as_of, days) and refused.isEmpty()
+
+
+@pytest.mark.parametrize("slices", [1, 7])
+def test_fold_of_one_record_at_one_time(spark, slices):
+    rng = random.Random(3)
+    cmds = ["save", *rng.choices(["delete", "restore", "patch"], k=400)]
+    log = [(1, NOW, seq, cmd, json.dumps({rng.choice("abc"): seq})) for seq, cmd in enumerate(cmds)]
+    records, _ = fold_history(spark.createDataFrame(log, LOG), NOW + DAY, keys=tuple("abc"), slices=slices)
+    assert state(records) == simulate(log, NOW + DAY, 30)
+
+
+def test_fold_refuses_what_a_change_refuses(spark):
+    bodies = ['{"signaturePlacement":"bad","evil":1}', '{"pagesImages":[]}', "broken", '{"title":"t","evil":1}', None]
+    log = [(1, NOW, 0, "save", '{"s":1}')] + [(1, NOW + DAY, i, "patch", b) for i, b in enumerate(bodies, 1)]
+    records, refused = fold_history(spark.createDataFrame(log, LOG), NOW + DAY)
+    assert {r.seq: r.error for r in refused.collect()} == {1: "signaturePlacement", 2: "pagesImages", 3: H.UNREADABLE}
+    assert json.loads(records.first().AnalysisJson) == {"s": 1, "meta": {"title": "t"}}
 
 
 def test_fold_limits_keys(spark):
     log = [(1, NOW, 1, "save", "{}"), (1, NOW + DAY, 2, "patch", '{"title":"a","x":1}')]
-    row = fold_history(spark.createDataFrame(log, LOG), NOW + DAY, keys=H.META_KEYS).first()
+    row = fold_history(spark.createDataFrame(log, LOG), NOW + DAY)[0].first()
     assert json.loads(row.AnalysisJson) == {"meta": {"title": "a"}}
 
 
@@ -240,7 +258,7 @@ def test_stream_equals_fold(spark, tmp_path, days):
         part = log[n * len(log) // 3 : (n + 1) * len(log) // 3]
         spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").parquet(source)
     arriving = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(source)
-    versions = streaming_history(arriving, "3 days", days)
+    versions = streaming_history(arriving, "3 days", days, keys=tuple("abc"))
     write_epochs(versions, str(tmp_path / "out"), str(tmp_path / "cp"), mode="update").awaitTermination()
     seen = current_records(spark.read.parquet(str(tmp_path / "out")).drop("epoch"), as_of, days)
     # Commands newer than the last watermark still wait.
