@@ -8,15 +8,15 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StringType, StructType
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from lexmill import fixed_values as V
 from lexmill.functions import json_meta as meta
 from lexmill.functions.text import js_trim, normalize_contract_text, normalize_docx_text, utf16_length
 from lexmill.functions.vectors import hashing_embedding
-from lexmill.operators.quality import valid_dimension
 from lexmill.operators.risk import DEFAULT_RULES, RISKS_TYPE, image_analysis, rules_analysis
 
 ANSWER_FIELDS = ("summary", "risk_score", "risks", "recommendation")
@@ -25,28 +25,53 @@ ANSWER_TYPE = f"struct<summary:string,risk_score:int,risks:{RISKS_TYPE},recommen
 # --- fixed values: names in a DOCX file ---------------------------------------
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 DOCX_BODY = "word/document.xml"
+ALTERNATE = "{http://schemas.openxmlformats.org/markup-compatibility/2006}AlternateContent"
+PROPERTIES = (W + "pPr", W + "rPr", W + "sectPr")
 
 
 def docx_text(content: bytes) -> str:
-    """Paragraph texts of a DOCX body, each followed by an empty line."""
+    """Paragraph texts of a DOCX body, each followed by an empty line.
+
+    A paragraph inside another (a text box) is a paragraph of its own, after the
+    one that holds it. Of alternate content only the first choice is read.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         root = ElementTree.fromstring(archive.read(DOCX_BODY))
-    out = []
-    for paragraph in root.iter(W + "p"):
-        for node in paragraph.iter():
-            if node.tag == W + "t":
-                out.append(node.text or "")
-            elif node.tag == W + "tab":
-                out.append("\t")
-        out.append("\n\n")
+    out: list[str] = []
+    waiting = [node for node in [root]]
+    while waiting:
+        waiting = _paragraphs(waiting.pop(0), out) + waiting
     return "".join(out)
 
 
-def _read(kind: str | None, content: bytes) -> tuple[str | None, str | None]:
-    if kind == "txt":
-        return content.decode("utf-8", errors="replace"), None
-    if kind != "docx":
-        return None, f"no reader for {kind}"
+def _paragraphs(node: ElementTree.Element, out: list[str]) -> list[ElementTree.Element]:
+    """Writes the paragraph ``node`` and gives the paragraphs in it, or those below a node that is none."""
+    inner: list[ElementTree.Element] = []
+    parts: list[str] = []
+    walk = list(reversed(_children(node)))
+    is_paragraph = node.tag == W + "p"
+    while walk:
+        child = walk.pop()
+        if child.tag == W + "p":
+            inner.append(child)
+        elif child.tag == W + "t":
+            parts.append(child.text or "")
+        elif child.tag == W + "tab":
+            parts.append("\t")
+        elif child.tag not in PROPERTIES:
+            walk += reversed(_children(child))
+    if is_paragraph:
+        out.append("".join(parts) + "\n\n")
+    return inner
+
+
+def _children(node: ElementTree.Element) -> list[ElementTree.Element]:
+    if node.tag == ALTERNATE:
+        return list(node)[:1]
+    return list(node)
+
+
+def _read_docx(content: bytes) -> tuple[str | None, str | None]:
     if not content.startswith(b"PK"):
         return None, "not a DOCX file"
     try:
@@ -60,25 +85,31 @@ def extract_contract_text(files: DataFrame, key: str = "path", style: str = "upl
 
     Text and DOCX are read; other kinds and files whose bytes do not fit their
     kind come back with ``error``. ``style`` picks the clean-up of an uploaded
-    file ("upload") or of a stored original ("stored").
+    file ("upload") or of a stored original ("stored"). Text files are decoded by
+    built-ins, bytes that are no UTF-8 replaced; only DOCX files reach Python.
     """
     schema = StructType([files.schema[key]]).add("kind", "string").add("text", "string").add("error", "string")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            results = [_read(kind, bytes(content)) for kind, content in zip(batch["kind"], batch["content"])]
-            yield pd.DataFrame(
-                {
-                    key: batch[key],
-                    "kind": batch["kind"],
-                    "text": pd.Series([text for text, _ in results], dtype=object),
-                    "error": pd.Series([error for _, error in results], dtype=object),
-                }
-            )
-
-    raw = files.select(key, "kind", "content").mapInPandas(read, schema)
+            for at in range(batch.num_rows):  # files are large: one at a time
+                row = batch.slice(at, 1)
+                text, error = _read_docx(row.column("content")[0].as_py() or b"")
+                yield pa.record_batch(
+                    [row.column(key), row.column("kind"), pa.array([text], pa.string()), pa.array([error], pa.string())],
+                    names=schema.names,
+                )
+
+    rows = files.select(key, "kind", "content")
+    docx = rows.where(F.col("kind") == "docx").mapInArrow(read, schema)
+    plain = rows.where(F.col("kind").isNull() | (F.col("kind") != "docx")).select(
+        key,
+        "kind",
+        F.when(F.col("kind") == "txt", F.make_valid_utf8(F.col("content").cast("string"))).alias("text"),
+        F.when(F.coalesce(F.col("kind") != "txt", F.lit(True)), F.concat(F.lit("no reader for "), F.coalesce("kind", F.lit("None")))).alias("error"),
+    )
     clean = normalize_contract_text if style == "stored" else normalize_docx_text
-    return raw.select(
+    return plain.unionByName(docx).select(
         key, "kind", F.when(F.col("text").isNotNull(), clean(F.col("text"))).alias("text"), "error"
     )
 
@@ -103,8 +134,34 @@ def embed_chunks(
     """
     if embed_fn is None:
         return df.withColumn(out, hashing_embedding(F.col(text), dim))
-    embed = F.pandas_udf(lambda texts: pd.Series(list(embed_fn(texts.tolist()))), ArrayType(FloatType()))
-    return valid_dimension(df.withColumn(out, embed(F.col(text))), out, dim)
+    schema = StructType([*df.schema.fields, StructField(out, ArrayType(FloatType()))])
+
+    # The width is judged where the vector is made: a filter above it would ask the model twice.
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = [None if v is None else [float(x) for x in v] for v in embed_fn(batch.column(text).to_pylist())]
+            if len(found) != batch.num_rows:
+                raise ValueError(f"{len(found)} vectors for {batch.num_rows} texts")
+            whole = pa.record_batch([*batch.columns, pa.array(found, pa.list_(pa.float32()))], names=schema.names)
+            yield whole.filter(pa.array([v is not None and len(v) == dim for v in found]))
+
+    return df.mapInArrow(embed, schema)
+
+
+def _answers(model_fn: Callable[[list[str]], list[str]], texts: list[str]) -> list[str | None]:
+    """An answer or null per text. If a batch fails, each of its texts is asked alone:
+    a failing service means the fallback for the texts it fails on, not for their neighbours."""
+    try:
+        answers = list(model_fn(texts))
+        if len(answers) == len(texts):
+            return answers
+    except Exception:  # noqa: BLE001
+        pass
+    if len(texts) <= 1:
+        return [None] * len(texts)
+    return [answer for text in texts for answer in _answers(model_fn, [text])]
 
 
 def analyze_contracts(
@@ -130,10 +187,7 @@ def analyze_contracts(
         return out
 
     def ask(texts: pd.Series) -> pd.Series:
-        try:
-            return pd.Series(list(model_fn(texts.tolist())), dtype=object)
-        except Exception:  # a failing service means the fallback, not a failing job
-            return pd.Series([None] * len(texts), dtype=object)
+        return pd.Series(_answers(model_fn, texts.tolist()), dtype=object)
 
     body = meta.first_object_text(F.pandas_udf(ask, StringType())(F.col(text)))
     told = out.withColumn("_body", body).withColumn("_told", F.from_json("_body", ANSWER_TYPE))

@@ -76,7 +76,7 @@ def list_trash(df: DataFrame, user: int | None = None) -> DataFrame:
 def history_detail(df: DataFrame, ids: DataFrame | int) -> DataFrame:
     """Records by id, those in the trash included."""
     if isinstance(ids, DataFrame):
-        return df.join(ids.select("Id"), "Id", "left_semi")
+        return df.join(ids.select("Id").distinct(), "Id", "left_semi")
     return df.where(F.col("Id") == ids)
 
 
@@ -225,7 +225,7 @@ def restore(df: DataFrame, ids: DataFrame, as_of) -> DataFrame:
 
 def purge(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Removed for good, in the trash or not."""
-    return df.join(ids.select("Id"), "Id", "left_anti")
+    return df.join(ids.select("Id").distinct(), "Id", "left_anti")
 
 
 def missing_ids(df: DataFrame, ids: DataFrame, active_only: bool = False) -> DataFrame:

@@ -32,14 +32,15 @@ def insert_unique(
 ) -> tuple[DataFrame, DataFrame]:
     """``(inserted, conflicts)``: the first new row per unused key, and the rest.
 
-    ``order`` must identify a row of ``new`` among the rows of its key.
+    ``order`` must identify a row of ``new`` among the rows of its key. A row
+    without a key cannot be looked up and is a conflict.
     """
     taken = existing.select(key).distinct()
     winners = first_per_key(new.where(F.col(key).isNotNull()), key, order).join(taken, key, "left_anti")
     mark = winners.select(key, F.struct(*order).alias("_won"))
     judged = new.join(mark, key, "left")
     lost = ~F.coalesce(F.col("_won") == F.struct(*order), F.lit(False))
-    conflicts = judged.where(F.col(key).isNotNull() & lost).select(*new.columns)
+    conflicts = judged.where(lost).select(*new.columns)
     return winners, conflicts
 
 
@@ -57,7 +58,7 @@ def update_by_key(base: DataFrame, patch: DataFrame, key: str) -> tuple[DataFram
             for name in base.columns
         ]
     )
-    return updated, patch.join(base.select(key), key, "left_anti")
+    return updated, patch.join(base.select(key).distinct(), key, "left_anti")
 
 
 def users_by_email(

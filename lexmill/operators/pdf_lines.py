@@ -16,11 +16,10 @@ def reassemble_pdf_lines(items: DataFrame, position: str = "item") -> DataFrame:
     within the tolerance of its *first* item's height, which makes it a fold
     over the page, not a rule on neighbours. ``position`` keeps items at the
     same place in their given order. A page is the unit of work: what is
-    collected is what one sheet holds.
+    collected is what one sheet holds. A page of blank pieces is an empty line.
     """
-    shown = items.where(js_trim(F.col("str")) != "")
     piece = F.struct((-F.col("y")).alias("down"), F.col("x"), F.col(position).alias("at"), F.col("w"), F.col("str"))
-    pieces = F.array_sort(F.collect_list(piece))
+    pieces = F.array_sort(F.collect_list(F.when(js_trim(F.col("str")) != "", piece)))
     start = F.struct(
         F.array().cast("array<string>").alias("done"),
         F.lit("").alias("line"),
@@ -43,7 +42,7 @@ def reassemble_pdf_lines(items: DataFrame, position: str = "item") -> DataFrame:
     lines = F.aggregate(pieces, start, step, lambda acc: F.concat(acc["done"], F.array(acc["line"])))
     tidy = F.transform(lines, _tidy)
     text = F.concat(F.array_join(F.filter(tidy, lambda line: line != ""), "\n"), F.lit("\n"))
-    return shown.groupBy("doc_id", "page").agg(text.alias("text"))
+    return items.groupBy("doc_id", "page").agg(text.alias("text"))
 
 
 def _tidy(line: Column) -> Column:

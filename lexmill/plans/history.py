@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from lexmill import fixed_values as V
 from lexmill.functions.binding import expand, let
@@ -48,6 +49,35 @@ def history_trash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.list_trash(history(spark, sf_dir)).select("Id", "UserId", stamp("DeletedAt").alias("DeletedAt"))
 
 
+USER = 7
+
+
+def _newest_first(df: DataFrame, by: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("UserId").orderBy(F.desc(by), F.desc("Id")))
+    return df.select("Id", stamp(by).alias(by), place.alias("place"))
+
+
+def history_of_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One user's records with their place; the user is a filter of the scan."""
+    return _newest_first(op.list_history(history(spark, sf_dir), USER), "CreatedAt")
+
+
+def trash_of_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _newest_first(op.list_trash(history(spark, sf_dir), USER), "DeletedAt")
+
+
+def _sql_of_user(by: str, trashed: str) -> str:
+    return f"""
+    SELECT Id, {sql_stamp(by)} AS {by}, row_number() OVER (ORDER BY {by} DESC, Id DESC)::INTEGER AS place
+    FROM {HISTORY_SQL} WHERE UserId = {USER} AND DeletedAt IS {trashed}"""
+
+
+def older_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table from before the trash was introduced, read like a present one."""
+    old = history(spark, sf_dir).drop("DeletedAt", "UpdatedAt")
+    return state(op.list_history(op.ensure_columns(old, {name: TimestampType() for name in ("UpdatedAt", "DeletedAt")})))
+
+
 def history_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state(op.history_detail(history(spark, sf_dir), returned_ids(spark, sf_dir)))
 
@@ -312,6 +342,12 @@ QUERIES = {
         history_trash,
         f"SELECT Id, UserId, {sql_stamp('DeletedAt')} AS DeletedAt FROM {HISTORY_SQL} WHERE DeletedAt IS NOT NULL",
     ),
+    "history_of_user": (history_of_user, _sql_of_user("CreatedAt", "NULL")),
+    "trash_of_user": (trash_of_user, _sql_of_user("DeletedAt", "NOT NULL")),
+    "older_table": (
+        older_table,
+        f"SELECT Id, {sql_stamp('CreatedAt')} AS CreatedAt, '' AS UpdatedAt, '' AS DeletedAt FROM {HISTORY_SQL}",
+    ),
     "history_detail": (history_detail, sql_state(f"{HISTORY_SQL} WHERE {_IN}")),
     "record_view": (
         record_view,

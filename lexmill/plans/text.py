@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +18,7 @@ from lexmill.functions import json_meta as meta
 from lexmill.functions import labels
 from lexmill.functions import text as fn
 from lexmill.operators import corpus as op
-from lexmill.operators.extraction import extract_contract_text
+from lexmill.operators.extraction import DOCX_BODY, W, extract_contract_text
 from lexmill.operators.pdf_lines import reassemble_pdf_lines
 from lexmill.operators.search import last_question as last_question_of
 from lexmill.operators.stats import json_validity
@@ -109,6 +114,38 @@ EXTRACT_SQL = f"""
     FROM documents"""
 
 
+def _docx_of(text: str) -> bytes:
+    """A DOCX file with a paragraph per line, each with a tab stop and two runs."""
+    stop = '<w:pPr><w:tabs><w:tab w:val="left" w:pos="720"/></w:tabs></w:pPr>'
+    run = "<w:r><w:t>{}</w:t></w:r>".format
+    body = "".join(f"<w:p>{stop}{run(escape(line[:5]))}{run(escape(line[5:]))}</w:p>" for line in text.split("\n"))
+    space = W[1:-1]
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        archive.writestr(DOCX_BODY, f'<w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>')
+    return held.getvalue()
+
+
+def docx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as DOCX files and read back."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                content = _docx_of(row.column("text")[0].as_py() or "")
+                yield pa.record_batch([row.column("doc_id"), pa.array(["docx"]), pa.array([content])], names=["doc_id", "kind", "content"])
+
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    files = docs.mapInArrow(write, "doc_id bigint, kind string, content binary")
+    return extract_contract_text(files, "doc_id").select("doc_id", "text", "error")
+
+
+DOCX_SQL = f"""
+    SELECT doc_id, {sql_trim("nfc_normalize(replace(text, chr(10), chr(10) || chr(10)))")} AS text, CAST(NULL AS VARCHAR) AS error
+    FROM documents"""
+
+
 def line_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents set out as pages of 40 lines, a piece per word, and read back."""
     docs = documents(spark, sf_dir, "doc_id", "text")
@@ -132,9 +169,9 @@ LINES_SQL = f"""
     w AS (SELECT doc_id, n, unnest(string_split(line, ' ')) AS word, unnest(range(len(string_split(line, ' ')))) AS i FROM l),
     tidy AS (
       SELECT doc_id, n,
-        rtrim(replace(regexp_replace(string_agg(word, ' ' ORDER BY i), '[ \\t]+', ' ', 'g'), chr(160), ' '),
-          {TRIM_SQL}) AS line
-      FROM w WHERE {sql_trim('word')} <> '' GROUP BY doc_id, n)
+        coalesce(rtrim(replace(regexp_replace(string_agg(word, ' ' ORDER BY i) FILTER ({sql_trim('word')} <> ''),
+          '[ \\t]+', ' ', 'g'), chr(160), ' '), {TRIM_SQL}), '') AS line
+      FROM w GROUP BY doc_id, n)
     SELECT doc_id, n // 40 AS page,
       coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE line <> ''), '') || chr(10) AS text
     FROM tidy GROUP BY 1, 2"""
@@ -282,6 +319,7 @@ QUERIES = {
     "chunk_pages": (chunk_pages, CHUNK_PAGES_SQL),
     "normalize_text": (normalize_text, NORMALIZE_SQL),
     "extract_text": (extract_text, EXTRACT_SQL),
+    "docx_text": (docx_text, DOCX_SQL),
     "line_reassembly": (line_reassembly, LINES_SQL),
     "json_valid": (json_valid, JSON_VALID_SQL),
     "clean_answers": (clean_answers, CLEAN_SQL),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill import fixed_values as V
@@ -34,10 +34,16 @@ def read_legal_corpus(spark: SparkSession, path: str) -> DataFrame:
     """``(position, id, document_type, title, source_url, content)`` of corpus files.
 
     ``path`` may name many files; each is one JSON object and read by one task.
-    A missing list gives no rows.
+    ``position`` goes on from file to file, in the order of their names, so that
+    documents without an id are told apart. A missing list gives no rows.
     """
-    files = spark.read.schema(CORPUS_SCHEMA).option("multiLine", True).json(path)
-    return files.select(F.posexplode("legaldocuments").alias("position", "doc")).select("position", "doc.*")
+    files = spark.read.schema(CORPUS_SCHEMA).option("multiLine", True).json(path).withColumn("_file", F.input_file_name())
+    # One short row per file.
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = files.groupBy("_file").agg(F.sum(F.greatest(F.size("legaldocuments"), F.lit(0))).alias("_n"))
+    starts = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("int").alias("_start"))
+    placed = files.join(starts, "_file").select("_start", F.posexplode("legaldocuments").alias("_at", "doc"))
+    return placed.select((F.col("_start") + F.col("_at")).alias("position"), "doc.*")
 
 
 def corpus_validity(spark: SparkSession, path: str) -> DataFrame:

@@ -66,6 +66,30 @@ def test_model_answers_and_failures(spark):
     assert scores == {0: 50, 1: 70}
 
 
+def test_one_bad_text_does_not_spoil_its_neighbours(spark):
+    def model(batch):
+        if any("bad" in t for t in batch):
+            raise RuntimeError("refused")
+        return ['{"summary":"s","risk_score":9,"risks":[],"recommendation":"r"}' for _ in batch]
+
+    df = texts(spark, "fine one", "bad one", "fine two").coalesce(1)
+    scores = {r.contract_id: r.risk_score for r in extraction.analyze_contracts(df, model).collect()}
+    assert scores[0] == scores[2] == 9 and scores[1] == 82
+
+
+def test_a_text_is_embedded_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(batch):
+        calls.add(len(batch))
+        return [[1.0, 2.0] if "ok" in t else [1.0] for t in batch]
+
+    df = spark.createDataFrame([(i, "ok" if i % 2 else "no") for i in range(20)], "id int, text string")
+    out = extraction.embed_chunks(df, embed, dim=2)
+    assert sorted(r.id for r in out.where(F.size("values") == 2).collect()) == list(range(1, 20, 2))
+    assert calls.value == 20
+
+
 # --- search -------------------------------------------------------------------------
 
 
@@ -195,6 +219,38 @@ def docx(*paragraphs):
     return held.getvalue()
 
 
+def docx_of(body):
+    spaces = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"'
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        archive.writestr("word/document.xml", f"<w:document {spaces}><w:body>{body}</w:body></w:document>")
+    return held.getvalue()
+
+
+def test_docx_reads_runs_only_and_once():
+    run = "<w:r><w:t>{}</w:t></w:r>".format
+    stops = '<w:pPr><w:tabs><w:tab w:val="left"/><w:tab w:val="right"/></w:tabs></w:pPr>'
+    assert extraction.docx_text(docx_of(f"<w:p>{stops}{run('A')}<w:r><w:tab/></w:r>{run('B')}</w:p>")) == "A\tB\n\n"
+    box = f"<w:txbxContent><w:p>{run('BOX')}</w:p></w:txbxContent>"
+    choice = f"<mc:AlternateContent><mc:Choice>{box}</mc:Choice><mc:Fallback>{box}</mc:Fallback></mc:AlternateContent>"
+    assert extraction.docx_text(docx_of(f"<w:p>{run('1')}<w:r>{choice}</w:r>{run('2')}</w:p><w:p>{run('3')}</w:p>")) == "12\n\nBOX\n\n3\n\n"
+
+
+def test_blank_pages_and_rows_without_a_key_stay(spark):
+    items = spark.createDataFrame([(1, 0, " ", 0.0, 0.0, 1.0, 0), (1, 1, "a", 0.0, 0.0, 1.0, 0)], "doc_id int, page int, str string, x double, y double, w double, item int")
+    assert {r.page: r.text for r in reassemble_pdf_lines(items).collect()} == {0: "\n", 1: "a\n"}
+    old = spark.createDataFrame([(1, "a")], "Id int, Email string")
+    new = spark.createDataFrame([(2, None), (3, "b"), (4, "a")], "Id int, Email string")
+    inserted, conflicts = joins.insert_unique(old, new, "Email", ["Id"])
+    assert {r.Id for r in inserted.collect()} == {3} and {r.Id for r in conflicts.collect()} == {2, 4}
+
+
+def test_positions_go_on_over_files(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.json").write_text('{"legaldocuments":[{"content":"x"},{"content":"y"}]}')
+    assert sorted(r.position for r in readers.read_legal_corpus(spark, str(tmp_path / "*.json")).collect()) == [0, 1, 2, 3]
+
+
 def test_contract_files(spark, tmp_path):
     files = {
         "a.docx": docx("Điều 1", "Điều 2"),
