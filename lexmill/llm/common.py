@@ -16,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until ``df`` has no column of that name in any case."""
+    taken = {column.lower() for column in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once and held in the shared checkpoint folder, where a lost executor cannot take it along."""
     shared_dir(df.sparkSession)

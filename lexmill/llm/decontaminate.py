@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.llm import words
+from lexmill.llm.common import unused
 
 SIGNATURE = 64
 MISS = 1e-12
@@ -213,8 +214,6 @@ def without_benchmark(docs: DataFrame, items: DataFrame, block: int = BLOCK_SHIN
     """``docs`` without the documents that contain an item, block after block; all columns stay."""
     out = docs
     for index in item_blocks(items, block=block):
-        name = "_matches"
-        while name in out.columns:
-            name = f"_{name}"
+        (name,) = unused(out, "_matches")
         out = with_matches(out, index, name=name).where(F.size(name) == 0).drop(name)
     return out

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm import words
-from lexmill.llm.common import kept
+from lexmill.llm.common import kept, unused
 from lexmill.llm.components import components
 from lexmill.llm.signature_tree import Tree
 
@@ -225,10 +225,11 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     found = kept(_labelled(docs))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     first = found.where("component is not null").groupBy("component").agg(F.min(row).alias("_row"))
-    keys = first.select(F.col("_row.doc_id").alias("_doc"), F.col("_row.text_key").alias("_key"), F.lit(True).alias("_one"))
-    empty = found.where("component is null").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.lit(False).alias("_one"))
+    doc, key, one, at = unused(docs, "_doc", "_key", "_one", "_place")
+    keys = first.select(F.col("_row.doc_id").alias(doc), F.col("_row.text_key").alias(key), F.lit(True).alias(one))
+    empty = found.where("component is null").select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.lit(False).alias(one))
     keys = keys.unionByName(empty.distinct())
     text_key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    joined = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_doc")) & (text_key == F.col("_key")))
-    place = F.row_number().over(Window.partitionBy("_doc", "_key").orderBy(F.lit(0)))
-    return joined.withColumn("_place", place).where(~F.col("_one") | (F.col("_place") == 1)).select(*docs.columns)
+    joined = docs.join(keys, F.col("doc_id").eqNullSafe(F.col(doc)) & (text_key == F.col(key)))
+    place = F.row_number().over(Window.partitionBy(doc, key).orderBy(F.lit(0)))
+    return joined.withColumn(at, place).where(~F.col(one) | (F.col(at) == 1)).select(*docs.columns)

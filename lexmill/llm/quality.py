@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.llm import words
+from lexmill.llm.common import unused
 
 BUCKETS = 1 << 14
 SAMPLE = 20_000  # documents the scorer is fitted on
@@ -271,8 +272,6 @@ def quality_scores(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """``docs`` without the rejected documents; all columns stay."""
-    names = ("_bad", "_weak")
-    while set(names) & set(docs.columns):
-        names = tuple(f"_{name}" for name in names)
+    names = tuple(unused(docs, "_bad", "_weak"))
     scored = with_quality(docs, train(docs.select("text")), names)
     return scored.where(F.col(names[0]) <= REJECT_ABOVE).drop(*names)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.llm import words
-from lexmill.llm.common import kept
+from lexmill.llm.common import kept, unused
 from lexmill.llm.fm_index import FMIndex
 
 WINDOW = 35
@@ -253,9 +253,11 @@ def repeated_spans(docs: DataFrame, shard_words: int = SHARD_WORDS, hot_segments
 
 def _with_spans(docs: DataFrame, **options) -> tuple[DataFrame, str]:
     """``docs`` with a column of the spans to remove, and that column's name."""
-    spans = repeated_spans(docs, **options).select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(spans, same, "left").drop("_doc", "_hash"), "_spans"
+    doc, key, name = unused(docs, "_doc", "_hash", "_spans")
+    spans = repeated_spans(docs.select("doc_id", "text"), **options)
+    spans = spans.select(F.col("doc").alias(doc), F.col("text_hash").alias(key), F.col("spans").alias(name))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key))
+    return docs.join(spans, same, "left").drop(doc, key), name
 
 
 def _covered(found: words.Words, spans: pa.Array) -> np.ndarray:
@@ -296,7 +298,7 @@ def removal_digests(docs: DataFrame, **options) -> DataFrame:
         for batch in batches:
             for part in words.slices(batch, "text"):
                 found = words.find_words(part.column("text"))
-                gone = _covered(found, part.column("_spans"))
+                gone = _covered(found, part.column(spans))
                 total = np.r_[0, np.cumsum(gone)]
                 hashes = [hashlib.sha256(text).hexdigest() for text in _kept_texts(found, gone)]
                 removed = total[found.bounds[1:]] - total[found.bounds[:-1]]
