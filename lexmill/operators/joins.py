@@ -1,30 +1,32 @@
 """Lookups and updates by key.
 
-Every table joined here is first brought to one row per key by a combining
-aggregate. The other side may repeat a key as often as it likes: such joins
+Every table joined here is first brought to one row per key, and its keys to
+one each, before it is moved. The other side may repeat a key as often as it likes: such joins
 are left or inner joins whose large side adaptive execution may split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.falsy import blank_to_null
 
 
 def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The row that comes first per key, found with a map-side combine."""
-    row = F.struct(*[F.col(name) for name in df.columns])
-    first = F.min_by(row, F.struct(*order)).alias("_row")
-    return df.groupBy(key).agg(first).select("_row.*")
+    """The row that comes first per key."""
+    return _first(df, key, [F.asc(name) for name in order])
 
 
 def last_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The row that comes last per key, found with a map-side combine."""
-    row = F.struct(*[F.col(name) for name in df.columns])
-    last = F.max_by(row, F.struct(*order)).alias("_row")
-    return df.groupBy(key).agg(last).select("_row.*")
+    """The row that comes last per key."""
+    return _first(df, key, [F.desc(name) for name in order])
+
+
+def _first(df: DataFrame, key: str, order: list) -> DataFrame:
+    """One row per key. A limit on the window lets every task send one row of each key at most."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return df.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
 
 
 def insert_unique(

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import fixed_values as V
-from lexmill.sources.readers import spread
 
 DIM = 64
 AS_OF_ORDERS = "2001-08-01 00:00:00"
@@ -18,8 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Columns of the documents, for work that is heavy on the text."""
-    return spread(table(spark, sf_dir, "documents").select(*columns))
+    return table(spark, sf_dir, "documents").select(*columns)
 
 
 def stamp(col: str | Column) -> Column:
@@ -103,10 +101,9 @@ def sql_cosine(queries: str, corpus: str, k: int = V.TOP_K) -> str:
 # --- the history table and command log that orders and events stand in for ----------
 
 
-def history(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
-    """Orders as history records; ``heavy`` for work on their JSON and texts."""
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as history records."""
     orders = table(spark, sf_dir, "orders")
-    orders = spread(orders) if heavy else orders
     trashed = F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate") + F.make_dt_interval(F.lit(10)))
     title = F.concat(F.lit('{"summary":"s","meta":{"title":"'), "o_orderpriority", F.lit('","kept":1}}'))
     return orders.select(

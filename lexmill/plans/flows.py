@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill import fixed_values as V
 from lexmill.functions import labels
+from lexmill.session import shared_dir
 from lexmill.operators import retrieval
 from lexmill.operators.corpus import chunk_records, upsert_vectors
 from lexmill.operators.extraction import (
@@ -38,8 +39,15 @@ def ingest_corpus(
 
     All is narrow up to the upsert, which moves only what shares a key.
     """
-    records = embed_chunks(chunk_records(docs, **options), embed_fn, dim=dim).select("id", "values", "metadata")
-    return records if index is None else upsert_vectors(index, records)
+    chunks = chunk_records(docs, **options)
+    records = embed_chunks(chunks, embed_fn, dim=dim).select("id", "values", "metadata")
+    if index is None:
+        return records
+    if embed_fn is None:
+        return upsert_vectors(index, records, keys=chunks.select("id"))
+    # Written once: a model is asked once per text, and only what it embeds replaces a record.
+    shared_dir(docs.sparkSession)
+    return upsert_vectors(index, records.checkpoint())
 
 
 def ask(

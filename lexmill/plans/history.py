@@ -14,7 +14,6 @@ from lexmill.operators.extraction import extract_contract_text
 from lexmill.operators.fold import fold_history
 from lexmill.operators.joins import update_by_key as update_rows
 from lexmill.operators.search import filter_by_name
-from lexmill.sources.readers import spread
 from lexmill.plans.common import (
     AS_OF_EVENTS,
     AS_OF_ORDERS,
@@ -110,7 +109,7 @@ def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def save_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spread(table(spark, sf_dir, "events")).where(F.col("event_type").isin("signup", "click"))
+    events = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "click"))
     content = F.when(F.col("event_type") == "signup", F.concat(F.lit('{"meta":{"k":0,"old":1},"s":'), F.col("value"), F.lit("}")))
     return events.select(
         F.col("user_id").alias("UserId"),
@@ -178,14 +177,14 @@ def meta_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    F.when(F.col("l_linestatus") == "F", '"b"').otherwise("2")))
     )
     names = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_linestatus")
-    return spread(table(spark, sf_dir, "lineitem").select(*names)).select(
+    return table(spark, sf_dir, "lineitem").select(*names).select(
         F.col("l_orderkey").alias("Id"), body.alias("patch"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq"),
     )
 
 
 def update_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updated, _ = op.update_meta(history(spark, sf_dir, heavy=True), meta_patches(spark, sf_dir), AS_OF_ORDERS)
+    updated, _ = op.update_meta(history(spark, sf_dir), meta_patches(spark, sf_dir), AS_OF_ORDERS)
     told = let(
         safe_json_parse(F.col("AnalysisJson")),
         lambda parsed: F.struct(
@@ -218,7 +217,7 @@ UPDATE_META_SQL = f"""
 
 def rejected_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patches that were refused, with the key at fault."""
-    _, rejected = op.update_meta(history(spark, sf_dir, heavy=True), meta_patches(spark, sf_dir), AS_OF_ORDERS)
+    _, rejected = op.update_meta(history(spark, sf_dir), meta_patches(spark, sf_dir), AS_OF_ORDERS)
     return rejected.groupBy("Id", "error").agg(F.count("*").alias("n"))
 
 
@@ -237,7 +236,7 @@ def update_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string('{"signatureADataUrl":"%s","signatureBDataUrl":%s}', url, b).alias("patch"),
         F.lit(1).alias("seq"),
     )
-    updated, _ = op.update_signatures(history(spark, sf_dir, heavy=True), patches, AS_OF_ORDERS)
+    updated, _ = op.update_signatures(history(spark, sf_dir), patches, AS_OF_ORDERS)
 
     def held(key: str) -> F.Column:
         return F.coalesce(F.get_json_object("AnalysisJson", f"$.meta.{key}"), F.lit("")).alias(key[:10])
@@ -262,7 +261,7 @@ def update_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def backfill_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records without text filled from an original file kept as a data URL."""
-    base = history(spark, sf_dir, heavy=True)
+    base = history(spark, sf_dir)
     url = F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode(F.concat(F.lit(" from "), "FileName"), "utf-8")))
     packed = F.format_string('{"meta":{"originalFileDataUrl":"%s"}}', url)
     base = base.withColumn("AnalysisJson", F.when(F.col("RiskScore") >= 50, packed).otherwise(F.col("AnalysisJson")))
@@ -279,7 +278,7 @@ BACKFILL_SQL = f"""
 
 
 def export_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.export_contract_text(history(spark, sf_dir, heavy=True))
+    return op.export_contract_text(history(spark, sf_dir))
 
 
 EXPORT_SQL = f"""

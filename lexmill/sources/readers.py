@@ -20,16 +20,6 @@ INDEX_SCHEMA = "vectors map<string,array<double>>"
 COMMAND_SCHEMA = "Id bigint, ts timestamp, seq bigint, cmd string, body string"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores, dealt out to all cores.
-
-    Only for scans that feed costly expressions. A table of the size a cluster
-    is for has more splits than cores and is left as it is, without a shuffle.
-    """
-    width = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(width) if scan.rdd.getNumPartitions() < width else scan
-
-
 def read_legal_corpus(spark: SparkSession, path: str) -> DataFrame:
     """``(position, id, document_type, title, source_url, content)`` of corpus files.
 

@@ -25,12 +25,12 @@ def stream_ingest(
     """Chunk records of arriving documents, written per epoch.
 
     No state is kept: a document that comes again is written again, and the
-    index is read as the last record per id.
+    index is read as the last record per id, by epoch and then by position.
     """
     records = embed_chunks(chunk_records(docs), embed_fn, dim=dim)
-    return write_epochs(records.select("id", "values", "metadata"), path, checkpoint, trigger=trigger)
+    return write_epochs(records.select("id", "values", "metadata", "position"), path, checkpoint, trigger=trigger)
 
 
 def current_index(spark: SparkSession, path: str) -> DataFrame:
     """``(id, values, metadata)``: the last record per id of all epochs."""
-    return last_per_key(spark.read.parquet(path), "id", ["epoch"]).drop("epoch")
+    return last_per_key(spark.read.parquet(path), "id", ["epoch", "position"]).drop("epoch", "position")
