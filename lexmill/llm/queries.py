@@ -148,6 +148,67 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def _sql_number(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+
+
+def _sql_apportioned(name: str, units: str, group: str, order: str, votes: str, seats: str) -> str:
+    """Relations ``<name>``: the ``units`` with ``won``, their seats by highest quotients within ``group``."""
+    return f"""
+{name}_bounds AS (
+  SELECT *, floor(share * greatest({seats} - n, 0))::BIGINT AS sure,
+    greatest(floor(share * ({seats} + n) + 0.5), floor(share * greatest({seats} - n, 0)))::BIGINT AS most
+  FROM (SELECT *, count(*) OVER g AS n, CASE WHEN sum({votes}) OVER g > 0 THEN {votes} / (sum({votes}) OVER g)::DOUBLE ELSE 0 END AS share
+    FROM {units} WINDOW g AS (PARTITION BY {group}))),
+{name}_open AS (SELECT *, {seats} - sum(sure) OVER (PARTITION BY {group}) AS open FROM {name}_bounds),
+{name}_asked AS (SELECT {group} AS g, {order} AS o, {votes} AS v, open, unnest(range(sure, most)) AS k FROM {name}_open WHERE {votes} > 0),
+{name}_won AS (
+  SELECT g, o, count(*) AS more FROM (
+    SELECT *, row_number() OVER (PARTITION BY g ORDER BY v / (2 * k + 1)::DOUBLE DESC, o, k) AS place FROM {name}_asked)
+  WHERE place <= open GROUP BY g, o),
+{name} AS (
+  SELECT u.* EXCLUDE (n, share, most, open), (sure + coalesce(more, 0))::BIGINT AS won
+  FROM {name}_open u LEFT JOIN {name}_won ON g = {group} AND o = {order})"""
+
+
+OP9_SQL = f"""
+WITH sizes AS (SELECT doc_id, source, coalesce(len({WORDS_SQL.format("text")}), 0)::BIGINT AS size FROM documents),
+by_source AS (SELECT source, sum(size)::BIGINT AS s FROM sizes GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM by_source),
+weighed AS (SELECT *, ([5, 2, 1])[r % 3 + 1]::BIGINT AS w, 2 * s AS lim FROM ranked),
+leveled AS (
+  SELECT *, lim / w AS ratio, 0 AS whole,
+    ((sum(s) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(lim) OVER before, 0)::DOUBLE)
+      / (sum(w) OVER () - coalesce(sum(w) OVER before, 0))::DOUBLE AS level
+  FROM weighed WINDOW before AS (ORDER BY lim / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+water AS (SELECT arg_min(level, {{'a': ratio, 'b': r}}) FILTER (WHERE level <= ratio) AS water FROM leveled),
+targets AS (SELECT source, s, r, whole, least(lim::DOUBLE, coalesce(water * w, lim::DOUBLE)) AS target FROM leveled, water),
+seated AS (SELECT *, round((sum(target) OVER ()) / {mixing.BLOCK_WORDS})::BIGINT AS seats FROM targets),
+{_sql_apportioned("sourced", "seated", "whole", "r", "target", "seats")},
+sharded AS (
+  SELECT r, source, s, target, won AS quota,
+    greatest(least(ceil(s / {mixing.SHARD_WORDS}), {mixing.MOST_SHARDS}), 1)::BIGINT AS shards FROM sourced),
+placed AS (
+  SELECT doc_id, size, d.source, s, target, r, quota,
+    {_sql_number("'mix/shard/' || coalesce(doc_id::VARCHAR, 'null')")} % shards AS shard,
+    md5('mix/order/' || coalesce(doc_id::VARCHAR, 'null')) AS place
+  FROM sizes d JOIN sharded t ON d.source IS NOT DISTINCT FROM t.source),
+lined AS (
+  SELECT *, (sum(size) OVER (PARTITION BY r, shard ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM placed),
+parts AS (SELECT r, shard, quota, sum(size)::BIGINT AS words FROM placed GROUP BY r, shard, quota),
+{_sql_apportioned("allotted", "parts", "r", "shard", "words", "quota")},
+blocks AS (
+  SELECT r, shard, n, least(won, n * {mixing.MOST}) // n AS rounds, least(won, n * {mixing.MOST}) % n AS more,
+    {_sql_number("'mix/blocks/' || r || '/' || shard")} % n AS shift
+  FROM (SELECT *, greatest(ceil(words / {mixing.BLOCK_WORDS}), 1)::BIGINT AS n FROM allotted))
+SELECT doc_id, size, source, s AS source_size, target,
+  (CASE WHEN size = 0 THEN 0 ELSE rounds * size + coalesce(list_sum(list_transform(
+    range((upto - size) // {mixing.BLOCK_WORDS}, (upto - 1) // {mixing.BLOCK_WORDS} + 1),
+    lambda b: CASE WHEN (b * {mixing.PRIME} + shift) % n < more
+      THEN least(upto, (b + 1) * {mixing.BLOCK_WORDS}) - greatest(upto - size, b * {mixing.BLOCK_WORDS}) ELSE 0 END)), 0) END)::BIGINT AS taken
+FROM lined JOIN blocks USING (r, shard)"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -161,6 +222,6 @@ QUERIES = {
     "op6_jaccard_join": (op6_jaccard_join, OP6_SQL),
     "op7_media": (op7_media, None),
     "op8_substring_dedup": (op8_substring_dedup, OP8_SQL),
-    "op9_mix": (op9_mix, None),
+    "op9_mix": (op9_mix, OP9_SQL),
     "op10_token_counts": (op10_token_counts, None),
 }
