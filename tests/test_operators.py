@@ -338,7 +338,7 @@ def test_pdf_lines(spark):
     ]
     items = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id int, page int, str string, x double, y double, w double, item int")
     pages = {r.page: r.text for r in reassemble_pdf_lines(items.repartition(3)).collect()}
-    assert pages == {1: "one two\nthird\nab c\nx  y\n", 2: "alone\n"}
+    assert pages == {1: "one two\nthird\nab c\nx  y\n", 2: "alone\n", 3: "\n"}
 
 
 def test_embed(spark):
