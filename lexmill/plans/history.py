@@ -148,6 +148,15 @@ SAVE_SQL = f"""
     FROM {_SAVES}"""
 
 
+def saves_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saves without a user or a file name."""
+    return op.save_analysis(save_requests(spark, sf_dir))[1].select("event_id")
+
+
+SAVES_REJECTED_SQL = """
+    SELECT event_id FROM events WHERE event_type IN ('signup', 'click') AND (value < 5 OR user_id = 0)"""
+
+
 def append_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved rows with the numbers they get after the highest Id."""
     _, inserted = op.append_history(history(spark, sf_dir), saved(spark, sf_dir), ["CreatedAt", "FileName"])
@@ -227,16 +236,19 @@ REJECTED_SQL = f"""
     FROM {_META_PATCHES} WHERE NOT valid GROUP BY 1, 2"""
 
 
-def update_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signature_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders get signatures; medium ones offer a PDF and are refused, low ones clear B."""
     url = F.when(F.col("o_orderpriority") == "3-MEDIUM", "data:application/pdf;base64,AAAA").otherwise("data:image/png;base64,AAAA")
     b = F.when(F.col("o_orderpriority") == "5-LOW", "null").otherwise('"data:image/jpg;base64,BBBB"')
-    patches = table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("Id"),
         F.format_string('{"signatureADataUrl":"%s","signatureBDataUrl":%s}', url, b).alias("patch"),
         F.lit(1).alias("seq"),
     )
-    updated, _ = op.update_signatures(history(spark, sf_dir), patches, AS_OF_ORDERS)
+
+
+def update_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    updated, _ = op.update_signatures(history(spark, sf_dir), signature_patches(spark, sf_dir), AS_OF_ORDERS)
 
     def held(key: str) -> F.Column:
         return F.coalesce(F.get_json_object("AnalysisJson", f"$.meta.{key}"), F.lit("")).alias(key[:10])
@@ -251,6 +263,18 @@ SIGNATURES_SQL = f"""
     FROM {HISTORY_SQL}"""
 
 
+def signatures_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, refused = op.update_signatures(history(spark, sf_dir), signature_patches(spark, sf_dir), AS_OF_ORDERS)
+    return refused.select("Id", "error")
+
+
+def update_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances for numbers of which only some are users'."""
+    orders = table(spark, sf_dir, "orders")
+    patch = orders.groupBy((F.col("o_custkey") * 2).alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
+    return update_rows(table(spark, sf_dir, "customer"), patch, "c_custkey")[1]
+
+
 def update_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users take over the balance of their dearest order as their new balance."""
     orders = table(spark, sf_dir, "orders")
@@ -383,6 +407,16 @@ QUERIES = {
     "meta_merge": (update_meta, UPDATE_META_SQL),
     "rejected_patches": (rejected_patches, REJECTED_SQL),
     "update_signatures": (update_signatures, SIGNATURES_SQL),
+    "saves_rejected": (saves_rejected, SAVES_REJECTED_SQL),
+    "signatures_refused": (
+        signatures_refused,
+        f"SELECT Id, 'signatureADataUrl' AS error FROM {HISTORY_SQL} WHERE o_orderpriority = '3-MEDIUM'",
+    ),
+    "update_unmatched": (
+        update_unmatched,
+        "SELECT o_custkey * 2 AS c_custkey, max(o_totalprice) AS c_acctbal FROM orders"
+        " WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer) GROUP BY 1",
+    ),
     "update_by_key": (
         update_by_key,
         "SELECT c_custkey, c_name, coalesce(m, c_acctbal) AS c_acctbal FROM customer LEFT JOIN"

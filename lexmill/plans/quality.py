@@ -35,6 +35,22 @@ UPLOAD_SQL = f"""
     FROM (SELECT *, l_orderkey % 2 = 0 OR day(l_shipdate) > 20 AS picture FROM lineitem) GROUP BY 1"""
 
 
+def validate_upload_server(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same uploads at the server, which also takes files by their type: some odd names come as PDF, some as nothing."""
+    day = F.dayofmonth("l_shipdate")
+    picture = (F.col("l_orderkey") % 2 == 0) | (day > 20)
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("upload_id"),
+        F.when(picture, "p.JPG").when(day > 2, "c.pdf").otherwise("x.exe").alias("name"),
+        F.when(picture, "image/jpeg").when(day == 1, "application/octet-stream").otherwise("application/pdf").alias("mime"),
+    )
+    checked = quality.validate_upload(lines, side="server")
+    return checked.withColumn("error", F.coalesce("error", F.lit("")))
+
+
+UPLOAD_SERVER_SQL = UPLOAD_SQL.replace("day(l_shipdate) <= 2", "day(l_shipdate) = 1")
+
+
 def require_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests without a user (0 counts as none) or a text, by reason of being kept."""
     events = table(spark, sf_dir, "events").withColumn("text", F.when(F.col("event_type") != "view", F.col("props")))
@@ -180,6 +196,7 @@ MANIFEST_SQL = """
 
 QUERIES = {
     "validate_upload": (validate_upload, UPLOAD_SQL),
+    "validate_upload_server": (validate_upload_server, UPLOAD_SERVER_SQL),
     "require_fields": (
         require_fields,
         "SELECT event_id, CASE WHEN user_id <> 0 AND event_type <> 'view' THEN 'valid' ELSE 'rejected' END AS outcome"

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.plans.common import AS_OF_EVENTS, DIM, command_log, sql_stamp, stamp, table
-from lexmill.plans.history import FOLD_SQL, folded
+from lexmill import fixed_values as V
+from lexmill.plans.common import AS_OF_EVENTS, DIM, HISTORY_SQL, command_log, history, sql_stamp, stamp, table
+from lexmill.plans.history import FOLD_SQL, folded, sql_state, state
 from lexmill.plans.text import CHUNK_PAGES_SQL
 from lexmill.streaming.history import current_records, streaming_history
 from lexmill.streaming.ingest import current_index, stream_ingest
+from lexmill.streaming.retention import retention_sweep
 from lexmill.streaming.rate_limit import rate_limit_violations
 from lexmill.streaming.sinks import fresh_folder, write_epochs
 
@@ -75,7 +77,27 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def retention_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history swept as of the last order that has arrived."""
+    clock = arriving(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("ts"))
+    path = fresh_folder(spark, "swept")
+
+    def store(swept: DataFrame, epoch: int) -> None:
+        swept.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    retention_sweep(clock, lambda: history(spark, sf_dir), store, f"{path}-checkpoint", trigger={"availableNow": True}).awaitTermination()
+    swept = spark.read.parquet(path)
+    return state(swept.join(swept.agg(F.max("epoch").alias("epoch")), "epoch"))
+
+
+RETENTION_SQL = sql_state(
+    f"{HISTORY_SQL} WHERE DeletedAt IS NULL"
+    f" OR DeletedAt >= (SELECT max(o_orderdate)::TIMESTAMP FROM orders) - INTERVAL {V.RETENTION_DAYS} DAY"
+)
+
+
 QUERIES = {
+    "retention_stream": (retention_stream, RETENTION_SQL),
     "rate_limit": (rate_limit, RATE_SQL),
     "rate_limit_stream": (rate_limit_stream, RATE_SQL),
     "history_stream": (history_stream, FOLD_SQL),
