@@ -9,12 +9,16 @@ shard knows, less that of the denominators, which the word's shard knows. One
 shuffle of the tokens with their contexts serves training and scoring.
 
 * Tokens are dealt to shards by word, a bounded number of bytes each, as packed
-  blocks; a shard counts its training pairs, builds its trie and asks it.
+  blocks; a shard counts its training pairs, builds its trie and asks it. It
+  answers a block with the word's count and the pair's numerator per token, some
+  six bytes; the block's texts are summed up where its answers meet. So what is
+  moved is in proportion to the tokens, however many shards there are.
 * Words above a ten-thousandth of all tokens are dealt by word and context.
   Their counts, and those of frequent pairs among them, are found in two passes
   before, and travel with the tasks: at most ten thousand words, and pairs above
   a millionth of the tokens. What such a pair adds never leaves its task.
 * Sums are whole numbers of 1e-9, so reruns agree to the last digit.
+* Within a shard a word is told by 48 bits of its hash, a context by 32.
 """
 
 from __future__ import annotations
@@ -142,7 +146,7 @@ def _totals(docs: DataFrame, shards: int, n_bytes: int) -> Totals:
         )
 
     partial = docs.mapInArrow(count, "shard int, word binary, n binary")
-    summed = partial.repartition(shards, "shard").mapInArrow(add, "tokens bigint, distinct bigint, single bigint, hot binary, hot_n binary")
+    summed = partial.repartitionById(shards, F.col("shard")).mapInArrow(add, "tokens bigint, distinct bigint, single bigint, hot binary, hot_n binary")
     rows = summed.where("tokens > 0").collect()  # one short row per partition
     tokens_ = sum(r["tokens"] for r in rows)
     hot = np.concatenate([np.frombuffer(r["hot"], dtype=np.uint64) for r in rows] or [np.zeros(0, dtype=np.uint64)])
@@ -189,151 +193,248 @@ def _hot_pairs(docs: DataFrame, totals: Totals) -> list[np.ndarray]:
     return Trie.build(totals.hot, totals.hot_counts, values, owner, context, pair)
 
 
-BLOCKS = (
-    "shard int, items bigint, words binary, contexts binary, word binary, context binary, row binary, "
-    "uid binary, train binary, head boolean, doc_id {kind}, known binary, base binary, score binary, n_tokens binary"
+BLOCK_TOKENS = 1 << 20
+TOP_SCALE = 2000  # numerators are answered in 1 / 2000
+HEAD, BLOCK = 0, 1
+_NAME_BITS = np.uint64((1 << 48) - 1)
+_SALT = np.uint64(0x9FB21C651E98DF25)
+SENT = (
+    "shard int, slice bigint, kind int, doc_id {kind}, sums binary, cold bigint, names binary, runs binary, "
+    "hot_names binary, hot_runs binary, hot_words binary, contexts binary, train binary, rows binary"
 )
-PARTIAL = "uid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base bigint, score bigint"
+TOLD = "slice bigint, kind int, doc_id {kind}, sums binary, cold bigint, counts binary, tops binary, rows binary"
+SCORED = "doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base bigint, score bigint"
 
 
-def _small(values: np.ndarray, most: int) -> bytes:
-    return values.astype(np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+def _names(columns: str) -> list[str]:
+    return [column.split()[0] for column in columns.split(", ")]
 
 
-def _large(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, dtype=np.uint16 if len(data) == 2 * n else np.uint32).astype(np.int64)
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the greatest needs; the first byte says how many."""
+    most = int(values.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
 
 
-def _fixed(values: np.ndarray) -> np.ndarray:
-    return np.rint(values * UNIT).astype(np.int64)
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def _packed_names(values: np.ndarray) -> bytes:
+    """48-bit numbers in six bytes each."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
 
+def _unpacked_names(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
-def _blocks(docs: DataFrame, shared, shards: int, kind: str) -> DataFrame:
-    """Tokens packed per slice and shard; the hot part of each text's sums is in the slice's one block with ``head``."""
 
+def _fixed(values: np.ndarray) -> np.ndarray:
+    return np.rint(values * UNIT)
+
+
+def _sums(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums per text; whole numbers below 2 ** 53, so their order does not matter."""
+    return np.bincount(row, weights=values, minlength=n).astype(np.int64)
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of equal values."""
+    if not len(values):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    return first, np.diff(np.r_[first, len(values)])
+
+
+def _block_rows(totals: Totals, pairs: Trie, shards: int, slice_: int, parts: list[tuple], ids: pa.Array) -> pa.RecordBatch:
+    """A slice of texts as one head, with the sums of its hot tokens, and a block per shard."""
+    word, context, row, train = (np.concatenate(x) for x in zip(*parts, strict=True))
+    n_rows = len(ids)
+    hot = totals.hot_place(word)
+    is_hot = hot >= 0
+    counts = totals.hot_counts[hot[is_hot]]
+    own = row[is_hot]
+    known, base = _sums(own, np.ones(len(own)), n_rows), _sums(own, _fixed(totals.base(counts)), n_rows)
+    score = _sums(own, _fixed(-np.log10(counts + totals.prior)), n_rows)
+    before = np.r_[totals.hot_place(context[:1]), hot[:-1]]  # each context is the word before
+    both = np.flatnonzero(is_hot & (before >= 0))
+    at = pairs.find_pairs(hot[both], context[both])
+    done = both[at >= 0]
+    score += _sums(row[done], _fixed(pairs.pair_table[pairs.pair_code[at[at >= 0]]]), n_rows)
+    n_tokens = np.bincount(row, minlength=n_rows)
+    sums = np.stack([~train, n_tokens, known, base, score]).astype(np.int64).tobytes()
+
+    left = np.ones(len(word), dtype=bool)
+    left[done] = False
+    cold, warm = np.flatnonzero(left & ~is_hot), np.flatnonzero(left & is_hot)
+    sorted_, cuts = [], []
+    for index, name in ((cold, words.mix(word[cold] ^ _SALT)), (warm, words.mix(words.mix(word[warm]) ^ context[warm]))):
+        order = np.argsort(name)
+        index, name = index[order], name[order]
+        shard = (name >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)  # grows with the name
+        sorted_.append((index, name))
+        cuts.append(np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64)))
+    out: list[tuple] = [(slice_ % shards, slice_, HEAD, ids, sums, 0, *(b"",) * 8)]
+    none = ids.slice(0, 0)
+    short = (words.mix(context) >> np.uint64(32)).astype("<u4")
+    for k in range(shards):
+        (index, name), (warm_index, warm_name) = ((i[c[k] : c[k + 1]], n[c[k] : c[k + 1]]) for (i, n), c in zip(sorted_, cuts, strict=True))
+        if not len(index) and not len(warm_index):
+            continue
+        every = np.r_[index, warm_index]
+        first, runs = _runs(name)
+        warm_first, warm_runs = _runs(warm_name)
+        out.append(
+            (
+                k, slice_, BLOCK, none, b"", len(index),
+                _packed_names(name[first] & _NAME_BITS), _packed(runs),
+                _packed_names(warm_name[warm_first] & _NAME_BITS), _packed(warm_runs), _packed(hot[warm_index[warm_first]]),
+                short[index].tobytes(), np.packbits(train[row[every]]).tobytes(), _packed(row[every]),
+            )
+        )
+    columns = list(zip(*out, strict=True))
+    offsets = pa.array(np.cumsum([0, *(len(x) for x in columns[3])]), pa.int32())
+    lists = pa.ListArray.from_arrays(offsets, pa.concat_arrays(columns[3]))
+    kinds = (pa.int32(), pa.int64(), pa.int32(), None, pa.binary(), pa.int64(), *(pa.binary(),) * 8)
+    arrays = [lists if kind is None else pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+    return pa.record_batch(arrays, names=_names(SENT))
+
+
+def _send(docs: DataFrame, shared, shards: int, kind: str) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: Totals = shared.value
         pairs = Trie.mapped(totals.pairs)
-        uid = TaskContext.get().partitionId() << 33
-        number = 0
+        slice_ = TaskContext.get().partitionId() << 32
+        parts, ids, n_tokens = [], [], 0
         for batch in batches:
             for part in words.slices(batch, "text", SLICE_BYTES):
-                n_rows = part.num_rows
                 word, context, row = tokens(part)
-                train = _training(part)
-                hot = totals.hot_place(word)
-                is_hot = hot >= 0
-                counts = totals.hot_counts[hot[is_hot]]
-                sums = [np.bincount(row[is_hot], weights=w, minlength=n_rows) for w in (np.ones(len(counts)), totals.base(counts), -np.log10(counts + totals.prior))]
-                both = np.flatnonzero(is_hot & (np.r_[totals.hot_place(context[:1]), hot[:-1]] >= 0))
-                at = pairs.find_pairs(hot[both], context[both])
-                done = both[at >= 0]
-                sums[2] += np.bincount(row[done], weights=pairs.pair_table[pairs.pair_code[at[at >= 0]]], minlength=n_rows)
-                left = np.ones(len(word), dtype=bool)
-                left[done] = False
-                word, context, row, is_hot = word[left], context[left], row[left], is_hot[left]
-                shard = _shard_of(np.where(is_hot, words.mix(word) ^ context, word), shards)
-                order = np.argsort(shard.astype(np.int32), kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                head = number % shards
-                number += 1
-                uids = (uid + np.arange(n_rows)).tobytes()
-                uid += n_rows
-                for k in range(shards):
-                    own = order[cuts[k] : cuts[k + 1]]
-                    if not len(own) and k != head:
-                        continue
-                    names_w, w = np.unique(word[own], return_inverse=True)
-                    names_h, h = np.unique(context[own], return_inverse=True)
-                    first = [
-                        pa.array([k], pa.int32()),
-                        pa.array([len(own)], pa.int64()),
-                        *(pa.array([x], pa.binary()) for x in (names_w.tobytes(), names_h.tobytes(), _small(w, len(names_w)), _small(h, len(names_h)), _small(row[own], n_rows), uids, train.astype(np.uint8).tobytes())),
-                        pa.array([k == head]),
-                    ]
-                    if k != head:
-                        none = pa.array([None], pa.binary())
-                        yield pa.record_batch([*first, pa.ListArray.from_arrays([0, 0], part.column("doc_id").slice(0, 0)), none, none, none, none], names=NAMES)
-                    else:
-                        ids = pa.ListArray.from_arrays(pa.array([0, n_rows], pa.int32()), part.column("doc_id"))
-                        n_tokens = np.bincount(tokens_rows(part), minlength=n_rows)
-                        told = (sums[0].astype(np.int64), _fixed(sums[1]), _fixed(sums[2]), n_tokens.astype(np.int64))
-                        yield pa.record_batch([*first, ids, *(pa.array([x.tobytes()], pa.binary()) for x in told)], names=NAMES)
-
-    return docs.mapInArrow(pack, BLOCKS.format(kind=f"array<{kind}>"))
-
-
-NAMES = [name.split()[0] for name in BLOCKS.split(", ")]
-
-
-def tokens_rows(part: pa.RecordBatch) -> np.ndarray:
-    n = words.find_words(part.column("text")).counts + 1
-    return np.repeat(np.arange(len(n)), n)
-
-
-def _score_shard(blocks: list[dict], totals: Totals) -> Iterator[pa.RecordBatch]:
-    """Partial sums of every text with tokens in the shard."""
-    names_w = np.unique(np.concatenate([b["words"] for b in blocks]))
-    names_h = np.unique(np.concatenate([b["contexts"] for b in blocks]))
-    word = np.concatenate([np.searchsorted(names_w, b["words"])[b["word"]] for b in blocks])
-    context = np.concatenate([np.searchsorted(names_h, b["contexts"])[b["context"]] for b in blocks])
-    train = np.concatenate([b["train"][b["row"]] for b in blocks])
-    hot = totals.hot_place(names_w)
-    counts = np.bincount(word[train], minlength=len(names_w))
-    if len(totals.hot):
-        counts = np.where(hot >= 0, totals.hot_counts[hot], counts)
-    code, where = np.unique(word * max(len(names_h), 1) + context, return_inverse=True)
-    seen = np.bincount(where[train], minlength=len(code))
-    owner, before = np.divmod(code, max(len(names_h), 1))
+                parts.append((word, context, row + sum(map(len, ids)), _training(part)))
+                ids.append(part.column("doc_id"))
+                n_tokens += len(word)
+                if n_tokens >= BLOCK_TOKENS:
+                    yield _block_rows(totals, pairs, shards, slice_, parts, pa.concat_arrays(ids))
+                    slice_, parts, ids, n_tokens = slice_ + 1, [], [], 0
+        if parts:
+            yield _block_rows(totals, pairs, shards, slice_, parts, pa.concat_arrays(ids))
+
+    return docs.mapInArrow(pack, SENT.format(kind=f"array<{kind}>"))
+
+
+def _answer(blocks: list[dict], totals: Totals) -> Iterator[pa.RecordBatch]:
+    """Counts of words and numerators of pairs for all tokens sent to a shard."""
+    names = [_unpacked_names(b["names"]) for b in blocks]
+    vocabulary = np.unique(np.concatenate(names))
+    word = np.concatenate([np.repeat(np.searchsorted(vocabulary, n), _unpacked(b["runs"])) for n, b in zip(names, blocks, strict=True)])
+    context = np.concatenate([np.frombuffer(b["contexts"], dtype="<u4") for b in blocks]).astype(np.int64)
+    n_cold = [b["cold"] for b in blocks]
+    rows = [b["rows"] for b in blocks]
+    train = [np.unpackbits(np.frombuffer(b["train"], dtype=np.uint8), count=(len(r) - 1) // r[0]).astype(bool) for b, r in zip(blocks, rows, strict=True)]
+    learned = np.concatenate([t[:n] for t, n in zip(train, n_cold, strict=True)])
+    counts = np.bincount(word[learned], minlength=len(vocabulary))
+    code, where = np.unique(word << 32 | context, return_inverse=True)
+    seen = np.bincount(where[learned], minlength=len(code))
+    owner, before = code >> 32, (code & 0xFFFFFFFF).astype(np.uint64)
     values = totals.unigram(counts)
     inside = np.flatnonzero(counts > 0)
-    place = np.full(len(names_w), -1)
+    place = np.full(len(vocabulary), -1)
     place[inside] = np.arange(len(inside))
     pair = seen > 0
     numerators = np.log10(seen[pair] + totals.prior * 10 ** values[owner[pair]])
-    trie = Trie.mapped(Trie.build(names_w[inside], counts[inside], values[inside], place[owner[pair]], names_h[before[pair]], numerators))
-    at_word = trie.find_words(names_w)
-    unigram = np.full(len(names_w), math.log10(totals.unknown))
+    trie = Trie.mapped(Trie.build(vocabulary[inside], counts[inside], values[inside], place[owner[pair]], before[pair], numerators))
+    at_word = trie.find_words(vocabulary)
+    unigram = np.full(len(vocabulary), math.log10(totals.unknown))
     unigram[at_word >= 0] = trie.word_table[trie.word_code[at_word[at_word >= 0]]]
-    exact = np.zeros(len(names_w), dtype=np.int64)
-    exact[at_word >= 0] = trie.counts[at_word[at_word >= 0]]
-    at_pair = trie.find_pairs(at_word[owner], names_h[before])
+    count = np.zeros(len(vocabulary), dtype=np.int64)
+    count[at_word >= 0] = trie.counts[at_word[at_word >= 0]]
+    at_pair = trie.find_pairs(at_word[owner], before)
     top = math.log10(totals.prior) + unigram[owner]
     top[at_pair >= 0] = trie.pair_table[trie.pair_code[at_pair[at_pair >= 0]]]
-    cold = hot < 0
-    per_word = (exact > 0) & cold, np.where(cold, totals.base(exact), 0.0), np.where(cold, np.log10(exact + totals.prior), 0.0)
-    first = 0
-    for block in blocks:
-        last = first + len(block["row"])
-        own, row, n_rows = word[first:last], block["row"], len(block["uid"])
-        known, base, score = (np.bincount(row, weights=w, minlength=n_rows) for w in (per_word[0][own], per_word[1][own], top[where[first:last]] - per_word[2][own]))
-        has = np.bincount(row, minlength=n_rows) > 0
-        first = last
-        sums = [known.astype(np.int64), _fixed(base), _fixed(score)]
-        if block["head"]:
-            has[:] = True
-            sums = [a + b for a, b in zip(sums, block["told"][:3], strict=True)]
-            extra = [block["doc_id"], pa.array(~block["train"]), pa.array(block["told"][3])]
-        else:
-            n = int(has.sum())
-            extra = [pa.nulls(n, block["doc_id"].type), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64())]
-        yield pa.record_batch(
-            [pa.array(block["uid"][has]), *extra, *(pa.array(x[has]) for x in sums)],
-            names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "score"],
-        )
+    top, count = top[where], count[word]
+
+    # pairs of a hot word and a rarer context: known by the pair, the word's count is everywhere
+    warm_names = [_unpacked_names(b["hot_names"]) for b in blocks]
+    warm_runs = [_unpacked(b["hot_runs"]) for b in blocks]
+    warm = np.unique(np.concatenate(warm_names))
+    each = np.concatenate([np.repeat(np.searchsorted(warm, n), r) for n, r in zip(warm_names, warm_runs, strict=True)])
+    learned = np.concatenate([t[n:] for t, n in zip(train, n_cold, strict=True)])
+    seen = np.bincount(each[learned], minlength=len(warm))
+    hot_word = np.zeros(len(warm), dtype=np.int64)
+    for n, b in zip(warm_names, blocks, strict=True):
+        hot_word[np.searchsorted(warm, n)] = _unpacked(b["hot_words"])
+    warm_top = np.log10(seen + totals.prior * 10 ** totals.unigram(totals.hot_counts[hot_word])) if len(warm) else np.zeros(0)
+    warm_top = warm_top[each]
+
+    first = warm_first = 0
+    for block, n, row in zip(blocks, n_cold, rows, strict=True):
+        n_warm = (len(row) - 1) // row[0] - n
+        tops = np.r_[top[first : first + n], warm_top[warm_first : warm_first + n_warm]]
+        told = (_packed(count[first : first + n]), np.rint(tops * TOP_SCALE).astype("<i2").tobytes(), row)
+        first, warm_first = first + n, warm_first + n_warm
+        arrays = [pa.array([block["slice"]]), pa.array([BLOCK], pa.int32()), block["doc_id"], pa.array([b""], pa.binary()), pa.array([n])]
+        yield pa.record_batch([*arrays, *(pa.array([x], pa.binary()) for x in told)], names=_names(TOLD))
+
+
+def _ask(sent: DataFrame, shared, shards: int, kind: str) -> DataFrame:
+    """Every shard's answers, and the heads as they are. A task holds the blocks of one shard."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
+        for batch in batches:
+            for at, (own, row_kind) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
+                if held and own != shard:
+                    yield from _answer(held, shared.value)
+                    held = []
+                shard = own
+                row = batch.slice(at, 1)
+                if row_kind == HEAD:
+                    empty = pa.array([b""], pa.binary())
+                    yield pa.record_batch([*(row.column(n) for n in _names(TOLD)[:5]), empty, empty, empty], names=_names(TOLD))
+                else:
+                    block = {name: row.column(name)[0].as_py() for name in _names(SENT) if name != "doc_id"}
+                    held.append(block | {"doc_id": row.column("doc_id")})
+        if held:
+            yield from _answer(held, shared.value)
+
+    dealt = sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
+    return dealt.mapInArrow(ask, TOLD.format(kind=f"array<{kind}>"))
 
 
-def _unpacked(batch: pa.RecordBatch, at: int) -> dict:
-    get = {name: batch.column(name)[at] for name in batch.schema.names}
-    n = get["items"].as_py()
-    out = {name: np.frombuffer(get[name].as_py(), dtype=np.uint64) for name in ("words", "contexts")}
-    out |= {name: _large(get[name].as_py(), n) for name in ("word", "context", "row")}
-    out["uid"] = np.frombuffer(get["uid"].as_py(), dtype=np.int64)
-    out["train"] = np.frombuffer(get["train"].as_py(), dtype=np.uint8).astype(bool)
-    out["head"], out["doc_id"] = get["head"].as_py(), get["doc_id"].values
-    if out["head"]:
-        out["told"] = [np.frombuffer(get[name].as_py(), dtype=np.int64) for name in ("known", "base", "score", "n_tokens")]
-    return out
+def _sum_up(told: DataFrame, shared, kind: str) -> DataFrame:
+    """The texts of each slice: the head's sums and those of the answers."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: Totals = shared.value
+        ids, sums = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([ids, pa.array(sums[0] > 0), *(pa.array(x) for x in sums[1:])], names=_names(SCORED))
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {name: batch.column(name)[at] for name in ("kind", "sums", "cold", "counts", "tops", "rows")}
+                if row["kind"].as_py() == HEAD:
+                    if ids is not None:
+                        yield out()
+                    ids = batch.column("doc_id").slice(at, 1).flatten()
+                    sums = np.frombuffer(row["sums"].as_py(), dtype=np.int64).reshape(5, -1).copy()
+                    continue
+                n, cold = len(ids), row["cold"].as_py()
+                rows, counts = _unpacked(row["rows"].as_py()), _unpacked(row["counts"].as_py())
+                own = rows[:cold]
+                sums[2] += _sums(own, counts > 0, n)
+                sums[3] += _sums(own, _fixed(totals.base(counts)), n)
+                sums[4] += _sums(own, _fixed(-np.log10(counts + totals.prior)), n)
+                tops = np.frombuffer(row["tops"].as_py(), dtype="<i2").astype(np.float64)
+                sums[4] += _sums(rows, tops * (UNIT / TOP_SCALE), n)
+        if ids is not None:
+            yield out()
+
+    met = told.repartition("slice").sortWithinPartitions("slice", "kind")  # the head comes first
+    return met.mapInArrow(add, SCORED.format(kind=kind))
 
 
 def lm_scores(docs: DataFrame, prior: float = PRIOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -353,35 +454,13 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, shard_bytes: int = SHARD_BY
     totals.prior = prior
     totals.pairs = _hot_pairs(rows, totals)
     shared = docs.sparkSession.sparkContext.broadcast(totals)  # at most HOT_WORDS words and HOT_PAIRS pairs
-    blocks = _blocks(rows, shared, shards, kind).repartition(shards, "shard").sortWithinPartitions("shard")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
-        for batch in batches:
-            for at, own in enumerate(batch.column("shard").to_pylist()):
-                if held and own != shard:
-                    yield from _score_shard(held, shared.value)
-                    held = []
-                shard = own
-                held.append(_unpacked(batch, at))
-        if held:
-            yield from _score_shard(held, shared.value)
-
-    partial = blocks.mapInArrow(score, PARTIAL.format(kind=kind))
-    summed = partial.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum("known").alias("n_known"),
-        F.sum("base").alias("_base"),
-        F.sum("score").alias("_score"),
-    )
-    return summed.select(
+    told = _ask(_send(rows, shared, shards, kind), shared, shards, kind)
+    return _sum_up(told, shared, kind).select(
         "doc_id",
         "held_out",
         "n_tokens",
         "n_known",
         F.lit(totals.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("_base") / UNIT).alias("base_score"),
-        (F.col("_score") / UNIT).alias("score"),
+        (F.col("base") / UNIT).alias("base_score"),
+        (F.col("score") / UNIT).alias("score"),
     )
