@@ -161,7 +161,7 @@ SPAN = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.Stru
 def _search(units: DataFrame, shards: int) -> DataFrame:
     """``(anchor, digest, spans)`` of the segments ``units(anchor, digest, weight, text)`` with anything that repeats."""
     dealt = units.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
