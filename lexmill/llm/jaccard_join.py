@@ -7,7 +7,7 @@
    agree often enough; under a very frequent key all are tied to its first
    class, row by row, which can only make more classes meet. Two sets that
    link miss all 32 keys with a chance of (1 - 0.64) ** 32 < 1e-14 and fall
-   short of ``AGREE`` values with one of about 1e-12; both are
+   short of ``AGREE`` values with one below 1e-13; both are
    of the order at which hashed shingles are told apart at all.
 3. Tied classes form clusters. A cluster's texts meet in one task, or, by the
    number of their shingles, in blocks of which every two meet. There a
@@ -31,7 +31,7 @@ from lexmill.llm.components import components
 from lexmill.llm.signature_tree import Tree
 
 VALUES, PER_KEY = 64, 2
-AGREE = 28
+AGREE = 24
 USUAL_KEY = 2048
 BLOCK_SHINGLES = 1 << 20
 
