@@ -16,8 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ONE_SPLIT = 128 * 1024 * 1024
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table small enough for one split, dealt out to all cores before costly expressions.
+
+    The size is the scan's own estimate. What is moved never exceeds one split,
+    whatever the cluster; a larger table is left as it is.
+    """
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism) if size <= ONE_SPLIT else scan
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(*columns)
+    return spread(table(spark, sf_dir, "documents").select(*columns))
 
 
 def stamp(col: str | Column) -> Column:
@@ -101,9 +114,10 @@ def sql_cosine(queries: str, corpus: str, k: int = V.TOP_K) -> str:
 # --- the history table and command log that orders and events stand in for ----------
 
 
-def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as history records."""
+def history(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """Orders as history records; ``heavy`` for work on their JSON and texts."""
     orders = table(spark, sf_dir, "orders")
+    orders = spread(orders) if heavy else orders
     trashed = F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate") + F.make_dt_interval(F.lit(10)))
     title = F.concat(F.lit('{"summary":"s","meta":{"title":"'), "o_orderpriority", F.lit('","kept":1}}'))
     return orders.select(

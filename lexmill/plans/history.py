@@ -24,6 +24,7 @@ from lexmill.plans.common import (
     history,
     returned_ids,
     sql_stamp,
+    spread,
     sql_text,
     stamp,
     table,
@@ -186,14 +187,14 @@ def meta_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    F.when(F.col("l_linestatus") == "F", '"b"').otherwise("2")))
     )
     names = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_linestatus")
-    return table(spark, sf_dir, "lineitem").select(*names).select(
+    return spread(table(spark, sf_dir, "lineitem").select(*names)).select(
         F.col("l_orderkey").alias("Id"), body.alias("patch"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq"),
     )
 
 
 def update_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updated, _ = op.update_meta(history(spark, sf_dir), meta_patches(spark, sf_dir), AS_OF_ORDERS)
+    updated, _ = op.update_meta(history(spark, sf_dir, heavy=True), meta_patches(spark, sf_dir), AS_OF_ORDERS)
     told = let(
         safe_json_parse(F.col("AnalysisJson")),
         lambda parsed: F.struct(
@@ -226,7 +227,7 @@ UPDATE_META_SQL = f"""
 
 def rejected_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patches that were refused, with the key at fault."""
-    _, rejected = op.update_meta(history(spark, sf_dir), meta_patches(spark, sf_dir), AS_OF_ORDERS)
+    _, rejected = op.update_meta(history(spark, sf_dir, heavy=True), meta_patches(spark, sf_dir), AS_OF_ORDERS)
     return rejected.groupBy("Id", "error").agg(F.count("*").alias("n"))
 
 
@@ -248,7 +249,7 @@ def signature_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def update_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updated, _ = op.update_signatures(history(spark, sf_dir), signature_patches(spark, sf_dir), AS_OF_ORDERS)
+    updated, _ = op.update_signatures(history(spark, sf_dir, heavy=True), signature_patches(spark, sf_dir), AS_OF_ORDERS)
 
     def held(key: str) -> F.Column:
         return F.coalesce(F.get_json_object("AnalysisJson", f"$.meta.{key}"), F.lit("")).alias(key[:10])
@@ -264,7 +265,7 @@ SIGNATURES_SQL = f"""
 
 
 def signatures_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, refused = op.update_signatures(history(spark, sf_dir), signature_patches(spark, sf_dir), AS_OF_ORDERS)
+    _, refused = op.update_signatures(history(spark, sf_dir, heavy=True), signature_patches(spark, sf_dir), AS_OF_ORDERS)
     return refused.select("Id", "error")
 
 
@@ -302,7 +303,7 @@ BACKFILL_SQL = f"""
 
 
 def export_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.export_contract_text(history(spark, sf_dir))
+    return op.export_contract_text(history(spark, sf_dir, heavy=True))
 
 
 EXPORT_SQL = f"""

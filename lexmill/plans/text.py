@@ -22,7 +22,7 @@ from lexmill.operators.extraction import DOCX_BODY, W, extract_contract_text
 from lexmill.operators.pdf_lines import reassemble_pdf_lines
 from lexmill.operators.search import last_question as last_question_of
 from lexmill.operators.stats import json_validity
-from lexmill.plans.common import TRIM_SQL, documents, sql_chunks, sql_text, sql_trim, table
+from lexmill.plans.common import TRIM_SQL, documents, spread, sql_chunks, sql_text, sql_trim, table
 
 SPACES = V.SPACE_CLASS
 
@@ -34,7 +34,7 @@ def sql_strip_html(expr: str) -> str:
 
 
 def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "html").select("page_id", fn.strip_html(F.col("html")).alias("text"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", fn.strip_html(F.col("html")).alias("text"))
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as corpus documents: no title, the address as link."""
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html").select(
+    return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
         F.col("page_id").cast("string").alias("id"),
         F.col("page_id").alias("position"),
         F.lit("").alias("title"),
