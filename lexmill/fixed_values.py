@@ -25,6 +25,7 @@ RATE_WINDOW = "1 minute"
 MAX_FILES = 30
 MAX_PAGE_IMAGE_CHARS = 3_000_000
 MAX_PAGE_NAME_CHARS = 260
+BOX_LIMIT = 1.001
 PREVIEW_CHARS = 200
 PDF_LINE_TOLERANCE = 2.0
 PDF_SPACE_GAP = 1.5

@@ -75,7 +75,7 @@ def valid_box(box: Column) -> Column:
         finite = finite & side.isNotNull() & ~F.isnan(side) & (F.abs(side) != float("inf"))
     inside = (x >= 0) & (y >= 0) & (w > 0) & (h > 0)
     inside = inside & (x <= 1) & (y <= 1) & (w <= 1) & (h <= 1)
-    inside = inside & (x + w <= 1.001) & (y + h <= 1.001)
+    inside = inside & (x + w <= V.BOX_LIMIT) & (y + h <= V.BOX_LIMIT)
     return F.coalesce(finite & inside, F.lit(False))
 
 

@@ -56,7 +56,7 @@ def normalize_text(
     """
     out = _line_ends(text)
     if strip_blanks:
-        out = F.regexp_replace(F.regexp_replace(out, "[ \t]++\n", "\n"), "\n[ \t]+", "\n")
+        out = F.regexp_replace(F.regexp_replace(out, "(?<![ \t])[ \t]++\n", "\n"), "\n[ \t]+", "\n")
     if collapse_newlines:
         out = F.regexp_replace(out, "\n{3,}", "\n\n")
     return js_trim(out) if trim else out
