@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from lexmill import fixed_values as V
 from lexmill.functions import json_meta as meta
 from lexmill.functions.binding import expand, let
-from lexmill.operators.history import META_KEYS, UNREADABLE, meta_patch_error
+from lexmill.operators.history import PATCH_KEYS, UNREADABLE, patch_error
 
 SLICE_ROWS = 1_000_000
 
 
-def judge_commands(commands: DataFrame, keys: tuple[str, ...] = META_KEYS, error_of=meta_patch_error) -> DataFrame:
+def judge_commands(commands: DataFrame, keys: tuple[str, ...] = PATCH_KEYS, error_of=patch_error) -> DataFrame:
     """Adds ``_body`` and ``error`` to the log: each patch read once, under the rules of a direct change.
 
     ``_body`` is a patch reduced to ``keys``; ``error`` names its invalid key, or says that it cannot be read.
@@ -45,8 +45,8 @@ def fold_history(
     commands: DataFrame,
     as_of,
     days: int = V.RETENTION_DAYS,
-    keys: tuple[str, ...] = META_KEYS,
-    error_of=meta_patch_error,
+    keys: tuple[str, ...] = PATCH_KEYS,
+    error_of=patch_error,
     slices: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(records, refused)``.
@@ -56,8 +56,8 @@ def fold_history(
 
     ``commands`` holds ``Id, ts, seq, cmd, body`` with cmd one of save, delete,
     restore, patch, purge (others have no effect); ``body`` is JSON text: the
-    analysis of a save, the meta patch of a patch. ``keys`` are the keys a patch
-    may set; others are left out.
+    analysis of a save, the meta or signature patch of a patch. ``keys`` are the
+    keys a patch may set; others are left out.
 
     Commands before a record's first save find nothing, later saves are
     ignored, a purge is final, and a record that stays in the trash for more

@@ -40,6 +40,7 @@ HISTORY_COLUMNS = {
 UNREADABLE = "invalid JSON"
 META_KEYS = ("title", "category", "description", "signaturePlacement", "pagesImages", "pagesOriginalNames")
 SIGNATURE_KEYS = ("signatureADataUrl", "signatureBDataUrl")
+PATCH_KEYS = META_KEYS + SIGNATURE_KEYS
 
 
 def ensure_columns(df: DataFrame, spec: dict | None = None) -> DataFrame:
@@ -265,6 +266,11 @@ def signature_patch_error(body: Column) -> Column:
     return F.coalesce(*[F.when(~_given(body, key, valid(key)), F.lit(key)) for key in SIGNATURE_KEYS])
 
 
+def patch_error(body: Column) -> Column:
+    """As ``meta_patch_error`` for a patch of a log, which may also hold signatures."""
+    return F.coalesce(meta_patch_error(body), signature_patch_error(body))
+
+
 def judged_patches(patches: DataFrame, text: str, keys: tuple[str, ...], error_of) -> DataFrame:
     """Adds ``_body``, the patch reduced to ``keys``, and ``error``: the invalid key, or that it cannot be read."""
 

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lexmill import fixed_values as V
 from lexmill.functions.json_meta import object_map, safe_json_parse
 from lexmill.operators.fold import judge_commands
-from lexmill.operators.history import META_KEYS, meta_patch_error
+from lexmill.operators.history import PATCH_KEYS, patch_error
 from lexmill.operators.joins import last_per_key
 
 DAY_MICROS = 24 * 60 * 60 * 1_000_000
@@ -74,8 +74,8 @@ def streaming_history(
     commands: DataFrame,
     delay: str = "10 minutes",
     days: int = V.RETENTION_DAYS,
-    keys: tuple[str, ...] = META_KEYS,
-    error_of=meta_patch_error,
+    keys: tuple[str, ...] = PATCH_KEYS,
+    error_of=patch_error,
 ) -> DataFrame:
     """Versions of records as commands take effect: the newest per Id is the table.
 

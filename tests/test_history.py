@@ -240,6 +240,39 @@ def test_fold_refuses_what_a_change_refuses(spark):
     assert json.loads(records.first().AnalysisJson) == {"s": 1, "meta": {"title": "t"}}
 
 
+SIGNED = [
+    '{"signatureADataUrl":"data:image/png;base64,AA=="}',
+    '{"signatureBDataUrl":"data:text/plain;base64,AA=="}',
+    '{"signatureADataUrl":7,"title":"lost"}',
+    '{"signatureBDataUrl":null,"title":"t"}',
+]
+SIGNED_LOG = [(1, NOW, 0, "save", '{"s":1}')] + [(1, NOW + n * DAY, n, "patch", b) for n, b in enumerate(SIGNED, 1)]
+SIGNED_META = {"signatureADataUrl": "data:image/png;base64,AA==", "signatureBDataUrl": None, "title": "t"}
+
+
+def test_fold_keeps_and_refuses_signatures(spark):
+    records, refused = fold_history(spark.createDataFrame(SIGNED_LOG, LOG), NOW + 5 * DAY)
+    assert {r.seq: r.error for r in refused.collect()} == {2: "signatureBDataUrl", 3: "signatureADataUrl"}
+    row = records.first()
+    assert json.loads(row.AnalysisJson) == {"s": 1, "meta": SIGNED_META} and row.UpdatedAt == NOW + 4 * DAY
+
+
+def test_fold_of_a_refused_signature_changes_nothing(spark):
+    row = fold_history(spark.createDataFrame([SIGNED_LOG[0], SIGNED_LOG[2]], LOG), NOW + 5 * DAY)[0].first()
+    assert json.loads(row.AnalysisJson) == {"s": 1, "meta": {}} and row.UpdatedAt is None
+
+
+def test_stream_keeps_and_refuses_signatures(spark, tmp_path):
+    # The last command waits for a watermark that never comes.
+    log = [*SIGNED_LOG, (2, NOW + 9 * DAY, 9, "save", "{}")]
+    spark.createDataFrame(log, LOG).coalesce(1).write.parquet(str(tmp_path / "in"))
+    versions = streaming_history(spark.readStream.schema(LOG).parquet(str(tmp_path / "in")), "1 day")
+    write_epochs(versions, str(tmp_path / "out"), str(tmp_path / "cp"), mode="update").awaitTermination()
+    row = current_records(spark.read.parquet(str(tmp_path / "out")).drop("epoch"), NOW + 9 * DAY).first()
+    assert row.Id == 1 and json.loads(row.AnalysisJson) == {"s": 1, "meta": SIGNED_META}
+    assert row.UpdatedAt == NOW + 4 * DAY
+
+
 def test_fold_limits_keys(spark):
     log = [(1, NOW, 1, "save", "{}"), (1, NOW + DAY, 2, "patch", '{"title":"a","x":1}')]
     row = fold_history(spark.createDataFrame(log, LOG), NOW + DAY)[0].first()
