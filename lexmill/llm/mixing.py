@@ -4,7 +4,8 @@ Every source's documents are dealt to shards by a seeded hash, and a shard's
 words, its documents end to end in seeded order, are cut into equal blocks.
 Blocks are apportioned to sources and then to a source's shards by highest
 quotients ``votes / (2 k + 1)``; each shard then selects its quota of blocks by
-a seeded one-to-one map of block numbers, whole rounds first.
+a seeded one-to-one map of block numbers, whole rounds first. A source of less
+than ``SMALL_BLOCKS`` blocks is cut into single words and takes its rounded target.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BLOCK_WORDS = 64
+SMALL_BLOCKS = 16
 SHARD_WORDS = 1 << 20
 MOST_SHARDS = 4096
 SEED = "mix"
@@ -117,15 +119,22 @@ def mix_sources(
     nothing. Repeated rows and ids are documents of their own. Results depend on
     ids, sizes, sources and the seed only.
 
+    Blocks round a small source away, so one of less than ``SMALL_BLOCKS`` blocks
+    takes its target to the word: at its limit, every document ``most`` times.
+
     A source is split into shards of about ``shard_words`` (up to 4096, which
     then grow); a task orders one shard's ids and sizes, never texts.
     """
     sizes = kept(document_sizes(docs))
     sources = source_targets(sizes, weights, share, most)
-    seats = F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("bigint")
-    sources = apportion(sources.withColumn("_all", F.lit(0)).withColumn("_seats", seats), ["_all"], "source_rank", "target", "_seats", "_quota")
+    small = F.col("source_size") < SMALL_BLOCKS * block_words
+    sources = sources.withColumn("_votes", F.when(small, F.lit(0.0)).otherwise(F.col("target")))
+    seats = F.round(F.sum("_votes").over(Window.partitionBy()) / block_words).cast("bigint")
+    sources = apportion(sources.withColumn("_all", F.lit(0)).withColumn("_seats", seats), ["_all"], "source_rank", "_votes", "_seats", "_quota")
+    quota = F.when(small, F.round("target").cast("bigint")).otherwise(F.col("_quota"))
+    block = F.when(small, 1).otherwise(block_words).cast("bigint")
     wanted = F.least(F.ceil(F.col("source_size") / shard_words), F.lit(MOST_SHARDS))
-    sources = kept(sources.select("source_rank", "source", "source_size", "target", "_quota", F.greatest(wanted, F.lit(1)).cast("bigint").alias("_shards")))
+    sources = kept(sources.select("source_rank", "source", "source_size", "target", quota.alias("_quota"), block.alias("_block"), F.greatest(wanted, F.lit(1)).cast("bigint").alias("_shards")))
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     placed = (
         sizes.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
@@ -137,9 +146,9 @@ def mix_sources(
     line = Window.partitionBy(*key).orderBy("_order", "doc_id", "size")
     upto = F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))
     placed = placed.withColumn("_end", upto).withColumn("_start", F.col("_end") - F.col("size"))
-    shards = placed.groupBy(*key, "_quota").agg(F.sum("size").alias("_words"))
+    shards = placed.groupBy(*key, "_quota", "_block").agg(F.sum("size").alias("_words"))
     shards = apportion(shards, ["source_rank"], "_shard", "_words", "_quota", "_blocks_taken").drop("_quota")
-    blocks = F.ceil(F.col("_words") / block_words).cast("bigint")
+    blocks = F.ceil(F.col("_words") / F.col("_block")).cast("bigint")
     shards = (
         shards.withColumn("_n", F.greatest(blocks, F.lit(1).cast("bigint")))
         .withColumn("_take", F.least("_blocks_taken", F.col("_n") * most))
@@ -152,11 +161,11 @@ def mix_sources(
 
     def overlap(total: Column, block: Column) -> Column:
         chosen = (block * F.lit(PRIME) + F.col("_shift")) % F.col("_n") < F.col("_more")
-        inside = F.least("_end", (block + 1) * block_words) - F.greatest("_start", block * block_words)
+        inside = F.least("_end", (block + 1) * F.col("_block")) - F.greatest("_start", block * F.col("_block"))
         return total + F.when(chosen, inside).otherwise(F.lit(0).cast("bigint"))
 
-    first = F.floor(F.col("_start") / block_words).cast("bigint")
-    last = F.floor((F.col("_end") - 1) / block_words).cast("bigint")
+    first = F.floor(F.col("_start") / F.col("_block")).cast("bigint")
+    last = F.floor((F.col("_end") - 1) / F.col("_block")).cast("bigint")
     extra = F.aggregate(F.sequence(first, last), F.lit(0).cast("bigint"), overlap)
     taken = F.when(F.col("size") > 0, F.col("_rounds") * F.col("size") + extra).otherwise(F.lit(0).cast("bigint"))
     return joined.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"))

@@ -488,6 +488,20 @@ def test_mix_of_nothing(spark, empty):
     assert [(r.size, r.taken) for r in mixing.mix_sources(one).collect()] == [(0, 0), (0, 0)]
 
 
+def test_mix_of_tiny_sources(spark):
+    """A long tail of sources below a few blocks beside a large one, and alone."""
+    tail = [(n, "w " * n, None, f"t{n:02}", 0) for n in range(1, 66)] + [(100 + n, "w " * (n % 9), None, "t65", 0) for n in range(20)]
+    got = mixing.mix_sources(spark.createDataFrame([*tail, (0, "w " * 100_000, None, "a", 0)], SCHEMA)).collect()
+    assert {r.taken - 2 * r.size for r in got if r.source != "a"} == {0}
+    assert abs(sum(r.taken - r.target for r in got if r.source == "a")) <= 3 * 64
+    taken, target = Counter(), {}
+    for r in mixing.mix_sources(spark.createDataFrame(tail, SCHEMA)).collect():
+        assert r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) <= 0.5 for s, t in target.items()) and len(target) == 65
+
+
 def test_mix_over_shards(spark):
     rng = random.Random(9)
     rows_ = [(i, some_text(rng, rng.randrange(1, 80)), None, "a" if i % 3 else f"s{i % 5}", 0) for i in range(900)]
