@@ -365,7 +365,16 @@ def _answer(blocks: list[dict], totals: Totals) -> Iterator[pa.RecordBatch]:
     hot_word = np.zeros(len(warm), dtype=np.int64)
     for n, b in zip(warm_names, blocks, strict=True):
         hot_word[np.searchsorted(warm, n)] = _unpacked(b["hot_words"])
-    warm_top = np.log10(seen + totals.prior * 10 ** totals.unigram(totals.hot_counts[hot_word])) if len(warm) else np.zeros(0)
+    used, place = np.unique(hot_word, return_inverse=True)
+    counts = totals.hot_counts[used]
+    values = totals.unigram(counts)
+    order = np.lexsort((warm, place))  # a pair's own name stands for its context
+    order = order[seen[order] > 0]
+    numerators = np.log10(seen[order] + totals.prior * 10 ** values[place[order]])
+    trie = Trie.mapped(Trie.build(totals.hot[used], counts, values, place[order], warm[order], numerators))
+    at_pair = trie.find_pairs(place, warm)
+    warm_top = math.log10(totals.prior) + trie.word_table[trie.word_code[place]]
+    warm_top[at_pair >= 0] = trie.pair_table[trie.pair_code[at_pair[at_pair >= 0]]]
     warm_top = warm_top[each]
 
     first = warm_first = 0

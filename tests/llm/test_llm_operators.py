@@ -278,6 +278,25 @@ def test_lm_without_texts(spark, empty):
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
 
 
+def test_lm_pairs_of_hot_words_are_quantised_in_the_trie():
+    n = 300  # contexts seen 1, 2, ... times before one hot word: more numerators than codes
+    text = " ".join(f"c{k} h" for k in range(1, n + 1) for _ in range(k))
+    part = pa.record_batch([pa.array([1, 2, 3]), pa.array([text] * 3)], names=["doc_id", "text"])
+    part = part.filter(pa.array(lm_scores._training(part))).slice(0, 1)
+    word, context, row = lm_scores.tokens(part)
+    totals = lm_scores.Totals(len(word), n + 2, 1, np.unique(word[1:2]), np.array([n * (n + 1) // 2]))
+    no = np.zeros(0, dtype=np.int64)
+    hot_pairs = Trie.build(totals.hot, totals.hot_counts, totals.unigram(totals.hot_counts), no, no.astype(np.uint64), np.zeros(0))
+    sent = lm_scores._block_rows(totals, Trie.mapped(hot_pairs), 1, 0, [(word, context, row, np.array([True]))], part.column("doc_id")).slice(1)
+    block = {name: sent.column(name)[0].as_py() for name in sent.schema.names if name != "doc_id"} | {"doc_id": sent.column("doc_id")}
+    told = next(lm_scores._answer([block], totals))
+    tops = np.frombuffer(told.column("tops")[0].as_py(), dtype="<i2")[block["cold"] :] / lm_scores.TOP_SCALE
+    exact = np.log10(np.arange(1, n + 1) + totals.prior * 10 ** totals.unigram(totals.hot_counts))
+    width = np.ptp(exact) / 256
+    assert len(tops) == n * (n + 1) // 2 and len(np.unique(tops)) <= 256
+    assert np.abs(np.sort(tops) - np.repeat(exact, np.arange(1, n + 1))).max() < width + 1 / lm_scores.TOP_SCALE
+
+
 # --- 6 ------------------------------------------------------------------------------
 
 
