@@ -206,7 +206,10 @@ def fit_scorer(bucket: np.ndarray, value: np.ndarray, bounds: np.ndarray, target
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
-    """Weak labels from the vote patterns of all documents, a scorer from ``sample`` of them, the least by a hash of the text."""
+    """Weak labels from the vote patterns of all documents, a scorer from ``sample`` distinct texts, the least by a hash of the text.
+
+    Copies count as one text, so that a large group of them does not fill the sample.
+    """
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,20 +223,20 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
                 bucket, value, bounds = features(m)
                 packed = [(bucket[a:b].astype(np.int32).tobytes(), value[a:b].astype(np.float32).tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.record_batch(
-                    [pa.array(patterns(m)), *(pa.array([p[k] for p in packed], pa.binary()) for k in (0, 1))],
-                    names=["pattern", "bucket", "value"],
+                    [part.column("place"), pa.array(patterns(m)), *(pa.array([p[k] for p in packed], pa.binary()) for k in (0, 1))],
+                    names=["place", "pattern", "bucket", "value"],
                 )
 
     placed = docs.select(F.xxhash64("text").alias("place"), "text")
     voted = placed.mapInArrow(vote, "place bigint, pattern bigint")
-    counts = {r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 3 ** LABELLERS rows
-    weak = weak_labels(counts)
-    total = sum(counts.values())
+    votes = voted.groupBy("pattern").agg(F.count("*").alias("n"), F.approx_count_distinct("place").alias("texts")).collect()  # at most 3 ** LABELLERS rows
+    weak = weak_labels({r["pattern"]: r["n"] for r in votes})
+    total = sum(r["texts"] for r in votes)  # copies have one pattern
     # about twice the sample by the hash, then its least, so that texts are not sorted as a whole
     share = min(1.0, 2 * sample / max(total, 1))
     drawn = placed.where(F.pmod("place", F.lit(1 << 30)) < int(share * (1 << 30)) + 1) if share < 1 else placed
-    rows = drawn.select("text").mapInArrow(describe, "pattern bigint, bucket binary, value binary")
-    rows = rows.orderBy(F.xxhash64("bucket", "value"), "pattern").limit(sample).collect()  # ``sample`` rows
+    rows = drawn.mapInArrow(describe, "place bigint, pattern bigint, bucket binary, value binary").dropDuplicates(["place"])
+    rows = rows.orderBy(F.xxhash64("place"), "place").limit(sample).collect()  # ``sample`` rows
     bucket = [np.frombuffer(r["bucket"], dtype=np.int32) for r in rows]
     value = [np.frombuffer(r["value"], dtype=np.float32) for r in rows]
     bounds = np.r_[0, np.cumsum([len(b) for b in bucket])].astype(np.int64)

@@ -141,6 +141,18 @@ def test_quality_on_odd_rows(docs, empty, rows):
     assert quality.accepted(empty).count() == 0
 
 
+def test_quality_sample_is_of_distinct_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [some_text(rng, 30 + n) for n in range(61)]
+    drawn = []
+    monkeypatch.setattr(
+        quality, "fit_scorer", lambda bucket, value, bounds, target, weak: drawn.append(Counter((bucket[a:b].tobytes(), value[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])))
+    )
+    for copies in (0, 300):
+        quality.train(spark.createDataFrame([(text,) for text in [*texts, *texts[:1] * copies]], "text string").repartition(4), sample=61)
+    assert drawn[0] == drawn[1] and drawn[1].total() == 61
+
+
 # --- 3 ------------------------------------------------------------------------------
 
 
