@@ -15,6 +15,7 @@ from lexmill.llm import (
     lm_scores,
     mixing,
     quality,
+    queries_sets,
     substring_dedup,
     token_counts,
 )
@@ -224,4 +225,5 @@ QUERIES = {
     "op8_substring_dedup": (op8_substring_dedup, OP8_SQL),
     "op9_mix": (op9_mix, OP9_SQL),
     "op10_token_counts": (op10_token_counts, None),
+    **queries_sets.QUERIES,
 }
