@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import merkle
+from lexmill.llm import conversation_trie, merkle
 from lexmill.llm.common import table
 
 
@@ -82,6 +82,46 @@ FROM upper_fold f JOIN leaves l ON l.row = f.row JOIN subroots s ON s.source IS
 JOIN whole r ON r.n = 1"""
 
 
+# --- 13: conversation trie -------------------------------------------------------
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, each begun with turns of its family's first."""
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_trie.prefix_trie(conversation_trie.rebuilt(conversation_trie.turn_rows(turns)))
+
+
+OP13_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) - 1 AS pos,
+    md5(strlen(role) || ':' || role || text) AS key, strlen(text) AS bytes
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+  SELECT conv_id, list({{'key': key, 'bytes': bytes}} ORDER BY pos) AS own, conv_id - conv_id % {conversation_trie.FAMILY} AS base,
+    {_sql_crc32("conv_id::VARCHAR")} % {conversation_trie.MOST_BORROWED} AS h
+  FROM turns GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id, coalesce(b.own, [])[:c.h] || c.own[c.h + 1:] AS said FROM convs c LEFT JOIN convs b ON b.conv_id = c.base),
+paths AS (
+  SELECT conv_id, d AS depth, d = len(said) AS ends, CASE WHEN d = 0 THEN 0 ELSE said[d].bytes END AS bytes,
+    md5(array_to_string(list_transform(said[:d], lambda x: x.key), ' ')) AS node,
+    CASE WHEN d > 0 THEN md5(array_to_string(list_transform(said[:d - 1], lambda x: x.key), ' ')) END AS up
+  FROM (SELECT *, unnest(range(len(said) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT depth, node, up, bytes, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM paths GROUP BY ALL),
+kids AS (SELECT depth - 1 AS depth, up AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (depth, node)),
+sums AS (
+  SELECT p.depth, p.node, count(*) FILTER (x.n_children = 0) AS n_leaves, sum((x.n_convs - 1) * x.bytes)::BIGINT AS saved_tokens
+  FROM counted x JOIN paths p ON p.conv_id = x.conv_id AND p.depth <= x.depth GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM counted n JOIN sums s ON s.depth = n.depth AND s.node = n.node
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = n.up"""
+
+
 QUERIES = {
     "op11_merkle": (op11_merkle, OP11_SQL),
+    "op13_conversation_trie": (op13_conversation_trie, OP13_SQL),
 }
