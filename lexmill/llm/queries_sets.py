@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import conversation_trie, merkle
+from lexmill.llm import conversation_trie, merkle, near_duplicates
 from lexmill.llm.common import table
 
 
@@ -82,6 +82,32 @@ FROM upper_fold f JOIN leaves l ON l.row = f.row JOIN subroots s ON s.source IS
 JOIN whole r ON r.n = 1"""
 
 
+# --- 12: near duplicates -----------------------------------------------------------
+
+
+def op12_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_SHINGLE = near_duplicates.SHINGLE_WORDS
+OP12_SQL = f"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+grams AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - least({_SHINGLE}, len(w)) + 2),
+    lambda i: array_to_string(w[i:i + least({_SHINGLE}, len(w)) - 1], ' ')))) AS gram
+  FROM doc_words WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  JOIN sizes s ON s.doc_id = a.doc_id JOIN sizes t ON t.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, s.n, t.n HAVING 100 * count(*) >= 80 * (s.n + t.n - count(*))),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT x AS doc_id, coalesce(n, 0) AS n_shingles, min(y) AS component_id, x = min(y) AS kept
+FROM reach LEFT JOIN sizes ON x = doc_id GROUP BY x, n"""
+
+
 # --- 13: conversation trie -------------------------------------------------------
 
 
@@ -123,5 +149,6 @@ LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = n.up"""
 
 QUERIES = {
     "op11_merkle": (op11_merkle, OP11_SQL),
+    "op12_near_duplicates": (op12_near_duplicates, OP12_SQL),
     "op13_conversation_trie": (op13_conversation_trie, OP13_SQL),
 }
