@@ -1,9 +1,9 @@
 """Merkle manifest of a table: a SHA-256 tree per source, one over the sources, and folds of changed rows.
 
 Rows are numbered within their source by one sort. Every ``FAN_OUT`` consecutive
-nodes become one; a task takes blocks of ``BLOCK`` nodes ``STEPS`` levels up, so a
-source of any size is dealt over many tasks and ``log(rows) / log(BLOCK)`` rounds
-reach its top. Then paths go down the same rounds: one row per block carries what
+nodes become one; a task takes blocks of ``FAN_OUT ** STEPS`` nodes ``STEPS`` levels
+up, so a source of any size is dealt over many tasks, and a few rounds reach its
+top. Then paths go down the same rounds: one row per block carries what
 stands beside its root at all levels above.
 
 In a block each parent keeps copies of its running hash, one from before each
@@ -25,7 +25,6 @@ from lexmill.llm.common import kept
 
 FAN_OUT = 3
 STEPS = 6
-BLOCK = FAN_OUT**STEPS
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
 NODES = "tree string, place bigint, digest binary"
@@ -91,14 +90,14 @@ def placed(rows: DataFrame, order: list[str]) -> DataFrame:
 class Block:
     """The levels above consecutive nodes; ``states[level][i]`` is the parent's hash from before child ``i``."""
 
-    def __init__(self, digests: list[bytes], block: int):
+    def __init__(self, digests: list[bytes], block: int, steps: int = STEPS):
         self.size = len(digests)
         self.lefts: list[list[bytes]] = []
         self.rights: list[list[bytes]] = []
         self.states: list[list] = []
         # a tree's only block ends at one node, others rise by the same number of levels
-        alone = block == 0 and self.size < BLOCK
-        while (len(digests) > 1) if alone else (len(self.states) < STEPS):
+        alone = block == 0 and self.size < FAN_OUT**steps
+        while (len(digests) > 1) if alone else (len(self.states) < steps):
             digests = self._raise(digests)
         self.root = digests[0]
 
@@ -147,7 +146,7 @@ def _by_block(rows: DataFrame) -> DataFrame:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[str | None, int, list[tuple]]]:
-    """``(tree, block, rows)``; a block has at most ``BLOCK`` rows and what stands above it."""
+    """``(tree, block, rows)``; a block has at most ``FAN_OUT ** STEPS`` rows and what stands above it."""
     key, held = None, []
     for batch in batches:
         columns = [batch.column(name).to_pylist() for name in names]
@@ -182,7 +181,7 @@ def _in_batches(rows: Iterator[list[tuple]], schema: str, types: list[pa.DataTyp
 
 
 def _block_of(place: str = "place") -> Column:
-    return F.floor(F.col(place) / BLOCK).alias("block")
+    return F.floor(F.col(place) / FAN_OUT**STEPS).alias("block")
 
 
 # --- up and down -----------------------------------------------------------------
@@ -190,9 +189,10 @@ def _block_of(place: str = "place") -> Column:
 
 def rounds_up(nodes: DataFrame) -> list[DataFrame]:
     """``nodes(tree, place, digest)``, the roots of their blocks, and so on to one node per tree."""
+    steps = STEPS
 
     def raise_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots = ([(tree, block, Block([d for (d,) in held], block).root)] for tree, block, held in _grouped(batches, ["digest"]))
+        roots = ([(tree, block, Block([d for (d,) in held], block, steps).root)] for tree, block, held in _grouped(batches, ["digest"]))
         yield from _in_batches(roots, NODES, [pa.string(), pa.int64(), pa.binary()])
 
     rounds = [nodes]
@@ -204,14 +204,15 @@ def rounds_up(nodes: DataFrame) -> list[DataFrame]:
 
 def paths_down(rounds: list[DataFrame], tops: DataFrame, to: int) -> DataFrame:
     """Paths of the nodes of round ``to``, from the paths of the trees' roots, ``tops`` (``PATHS``)."""
+    steps = STEPS
 
     def hand_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks() -> Iterator[list[tuple]]:
             for tree, at, held in _grouped(batches, ["digest", "lefts", "rights", "subroot", "root"]):
                 (_, lefts, rights, subroot, root), nodes = held[0], held[1:]
-                block = Block([row[0] for row in nodes], at)
+                block = Block([row[0] for row in nodes], at, steps)
                 own = (block.path(i) for i in range(block.size))
-                yield [(tree, at * BLOCK + i, x + lefts, y + rights, subroot, root) for i, (x, y) in enumerate(own)]
+                yield [(tree, at * FAN_OUT**steps + i, x + lefts, y + rights, subroot, root) for i, (x, y) in enumerate(own)]
 
         yield from _in_batches(blocks(), PATHS, [pa.string(), pa.int64(), BINARIES, BINARIES, pa.binary(), pa.binary()])
 
@@ -291,7 +292,7 @@ def audit(docs: DataFrame, tampered: dict[str, Column] | None = None, columns: t
 
 
 def _folder() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    schema = FOLDED.format(kind="any")
+    schema, steps = FOLDED.format(kind="any"), STEPS
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = None
@@ -305,7 +306,7 @@ def _folder() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         out: list[tuple] = []
         names = ["doc_id", "leaf", "changed", "lefts", "rights", "subroot", "root"]
         for number, (_, at, held) in enumerate(_grouped(seen(), names)):
-            out += _folded(at, held)
+            out += _folded(at, held, steps)
             if number % BLOCKS_A_BATCH == BLOCKS_A_BATCH - 1:
                 yield _rows(schema, out, [kind, *[pa.string()] * 5, pa.bool_()])
                 out = []
@@ -315,10 +316,10 @@ def _folder() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     return fold
 
 
-def _folded(at: int, held: list[tuple]) -> list[tuple]:
+def _folded(at: int, held: list[tuple], steps: int) -> list[tuple]:
     *_, lefts, rights, subroot, root = held[0]
     digests = [row[1].hex().encode() for row in held[1:]]
-    block = Block(digests, at)
+    block = Block(digests, at, steps)
     kept_above = [(hashlib.sha256(left), right) for left, right in zip(lefts, rights, strict=True)]
     siblings_above = b"".join(left + right for left, right in zip(lefts, rights, strict=True))
     subroot, root = subroot.decode(), root.decode()
