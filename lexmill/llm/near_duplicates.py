@@ -10,16 +10,18 @@
    hub alone, the class that shares the most buckets, which tends to be the text
    that the others were made from. First each class with its best hub, then with
    other hubs that it isn't connected to yet. Candidates are verified on full sets.
-3. What stars can miss: classes of one bucket that are still apart. Pairs of them
-   are looked at by their signatures alone (``AGREE`` bins and sizes); what agrees
-   meets in blocks of bounded size and is verified. Classes of a hot bucket must
-   share a second one, and what is still large is compared by pairs of blocks.
+3. What stars can miss: classes of one bucket that are still apart. Their sizes and
+   signatures (``AGREE`` bins) say which may link, and a spanning forest of these
+   pairs, not the pairs, ties them into clusters. Classes of a hot bucket must share
+   a second one, and what is still large meets by pairs of blocks. A cluster's sets
+   come together in blocks of bounded size, where every pair of different labels is
+   looked at by a finer signature and verified on full sets if that agrees.
 4. Components of the links.
 
-Simulated at a similarity of exactly 0.8 for 8 to 300 shingles, agreeing bins have
-mean 51.2 and deviation 3.9 or less, shared bands mean 20.5 and at least 7 in
-100,000 pairs: ``AGREE`` is 6 deviations away, and sharing less than two of 32
-independent bands has a chance of 4e-13.
+Simulated at a similarity of exactly 0.8 for 8 to 1200 shingles, agreeing bins have
+mean 51.2 and deviation 3.9 or less (of 256 bins 204.8 and 8.1), shared bands mean
+20.5 and at least 7 in 100,000 pairs: ``AGREE`` and ``FINE_AGREE`` are 6 deviations
+away, and sharing less than two of 32 independent bands has a chance of 4e-13.
 """
 
 from __future__ import annotations
@@ -42,14 +44,14 @@ BANDS = BINS // PER_BAND
 LINK = (4, 5)  # intersection : union
 LEAST_SHARED = 2
 AGREE = 28
+FINE_BINS, FINE_AGREE = 256, 155
 FEWEST = 8
-BUCKET = 1024
+BUCKET = 4096
 HUB_MEMBERS = 512
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 19
 BROADCAST_ROWS = 500_000
 
 NONE = np.uint64(2**64 - 1)
-_PLACE = np.uint64(58)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 SKETCH = (
@@ -61,18 +63,23 @@ SKETCH = (
 # --- signatures ----------------------------------------------------------------------
 
 
-def signatures(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """``(documents, BINS)``: the least shingle hash of each bin, empty bins filled; all ``NONE`` without shingles."""
+def signatures(value: np.ndarray, bounds: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """``(documents, bins)``: the least shingle hash of each bin, empty bins filled; all ``NONE`` without shingles."""
     rows = len(bounds) - 1
     row = np.repeat(np.arange(rows), np.diff(bounds))
-    at = (value >> _PLACE).astype(np.int64)
+    at = (value >> _shift(bins)).astype(np.int64)
     first = np.ones(len(value), dtype=bool)  # hashes of a text are sorted, so a bin's first is its least
     first[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
-    least = np.full((rows, BINS), NONE, dtype=np.uint64)
+    least = np.full((rows, bins), NONE, dtype=np.uint64)
     least[row[first], at[first]] = value[first]
     return densified(least)
 
 
+def _shift(bins: int) -> np.uint64:
+    """What leaves the bin's number of a hash."""
+    return np.uint64(64 - bins.bit_length() + 1)
+
+
 def densified(least: np.ndarray) -> np.ndarray:
     """Empty bins take the value of the first filled one in their own sequence of bins, the same for all sets."""
     filled = least != NONE
@@ -81,7 +88,7 @@ def densified(least: np.ndarray) -> np.ndarray:
     attempt = np.uint64(0)
     while len(row):
         attempt += np.uint64(1)
-        pick = (words.mix(at.astype(np.uint64) * _STEP + attempt) >> _PLACE).astype(np.int64)
+        pick = (words.mix(at.astype(np.uint64) * _STEP + attempt) >> _shift(least.shape[1])).astype(np.int64)
         good = filled[row, pick]
         out[row[good], at[good]] = least[row[good], pick[good]]
         row, at = row[~good], at[~good]
@@ -183,7 +190,7 @@ def _around_hubs(pairs: DataFrame) -> DataFrame:
     """Tasks of pairs ``(a, b)`` by their hub ``b``, a hub of many members cut into parts."""
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_MEMBERS).alias("_parts"))
     part = F.pmod(F.xxhash64("a"), F.col("_parts")).cast("bigint")
-    return pairs.join(parts, "b").select(F.col("b").alias("t0"), part.alias("t1"), F.lit(0).cast("bigint").alias("t2"), "a", "b")
+    return pairs.join(parts, "b").select(F.col("b").alias("t0"), part.alias("t1"), "a", "b")
 
 
 def _open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -205,63 +212,80 @@ def _open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.where(F.col("n") <= BUCKET).unionByName(still_open(finer))
 
 
-EVIDENCE = "a bigint, b bigint"
+EDGES = "a bigint, b bigint"
 
 
-def _agreeing_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of one bucket, of different labels, whose sizes and signatures allow a link.
+def _ties(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` that hold together what may still link: per bucket, a spanning forest of the pairs of
+    different labels whose sizes and signatures allow a link.
 
     A bucket larger than ``BUCKET`` is cut into blocks and every two blocks meet.
     """
     blocks = F.ceil(F.col("n") / BUCKET).cast("int")
     own = F.pmod(F.xxhash64("class"), blocks).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "label")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "label")
     dealt = dealt.join(classes.select("class", "n_shingles", "marks"), "class")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "class")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
         for batch in batches:
-            names = ("key", "i", "j", "own", "class", "label", "n_shingles", "marks")
+            edges: list[tuple[int, int]] = []
+            names = ("key", "i", "j", "class", "label", "n_shingles", "marks")
             for key, i, j, *row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
                 if (key, i, j) != group:
-                    yield from _evidence(held, group)
+                    edges += _forest(held)
                     group, held = (key, i, j), []
                 held.append(row)
-        yield from _evidence(held, group)
+            yield _edge_batch(edges)
+        yield _edge_batch(_forest(held))
 
-    return dealt.mapInArrow(look, EVIDENCE).distinct()
+    return dealt.mapInArrow(look, EDGES).distinct()
 
 
-def _evidence(held: list[list], group: tuple | None) -> Iterator[pa.RecordBatch]:
-    if len(held) < 2:
-        return
-    own, name, label, size = (np.array(c, dtype=np.int64) for c in list(zip(*held, strict=True))[:4])
-    marks = np.frombuffer(b"".join(row[4] for row in held), dtype=np.uint8).reshape(len(held), BINS)
-    a, b = [], []
-    for x in range(len(held) - 1):
-        rest = slice(x + 1, None)
-        may = (label[rest] != label[x]) & (np.minimum(size[rest], size[x]) * LINK[1] >= np.maximum(size[rest], size[x]) * LINK[0])
-        if group[1] != group[2]:
-            may &= own[rest] != own[x]
-        at = np.flatnonzero(may) + x + 1
-        at = at[(marks[at] == marks[x]).sum(axis=1) >= AGREE]
-        a.append(np.full(len(at), name[x]))
-        b.append(name[at])
-    yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*edges, strict=True)) or [(), ()]
+    return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+
+def _near_sizes(size: np.ndarray, one: int) -> np.ndarray:
+    return np.minimum(size, one) * LINK[1] >= np.maximum(size, one) * LINK[0]
 
 
-def _in_blocks(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Tasks of pairs ``(a, b)``: what hangs together is cut into blocks by its shingles, a task has two blocks' pairs."""
-    clusters = kept(components(pairs))
+def _forest(held: list[list]) -> list[tuple[int, int]]:
+    if len(held) < 2:
+        return []
+    name, label, size = (np.array(c, dtype=np.int64) for c in list(zip(*held, strict=True))[:3])
+    marks = np.frombuffer(b"".join(row[3] for row in held), dtype=np.uint8).reshape(len(held), BINS)
+    left = np.arange(len(held))
+    edges = []
+    while len(left) > 1:
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            at = front.pop()
+            may = (label[left] != label[at]) & _near_sizes(size[left], int(size[at]))
+            may[may] = (marks[left[may]] == marks[at]).sum(axis=1) >= AGREE
+            edges += [(int(name[i]), int(name[at])) for i in left[may]]
+            front += left[may].tolist()
+            left = left[~may]
+    return edges
+
+
+def _in_blocks(ties: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows ``(t0, t1, t2, own, class, label)``: what is tied together is cut into blocks by its shingles, a task
+    has two blocks."""
+    clusters = kept(components(ties))
     sized = clusters.join(classes.select(F.col("class").alias("node"), "n_shingles"), "node")
-    blocks = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("_n"))
-    placed = sized.join(blocks, "component").select("node", "component", F.pmod(F.xxhash64("node"), "_n").cast("bigint").alias("_at"))
-    x = placed.select(F.col("node").alias("a"), "component", F.col("_at").alias("_x"))
-    y = placed.select(F.col("node").alias("b"), F.col("_at").alias("_y"))
-    joined = pairs.join(x, "a").join(y, "b")
-    return joined.select(F.col("component").alias("t0"), F.least("_x", "_y").alias("t1"), F.greatest("_x", "_y").alias("t2"), "a", "b")
+    blocks = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("_n"))
+    placed = sized.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    named = labels.select(F.col("node").alias("_node"), F.col("component").alias("_label"))
+    placed = placed.join(named, F.col("node") == F.col("_node"), "left")
+    return placed.select(
+        F.col("component").alias("t0"), F.least("own", "_other").alias("t1"), F.greatest("own", "_other").alias("t2"),
+        "own", F.col("node").alias("class"), F.coalesce("_label", "node").alias("label"),
+    )
 
 
 # --- verification ----------------------------------------------------------------------
@@ -305,51 +329,81 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _verified(tasks: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of ``tasks(t0, t1, t2, a, b)`` that link, but for those a task finds connected already.
+    """The pairs ``(a, b)`` of ``tasks(t0, t1, a, b)`` that link; ``b`` is the task's hub."""
+    members = tasks.select("t0", "t1", F.col("a").alias("class"))
+    hubs = tasks.select("t0", "t1", F.col("b").alias("class")).distinct()
+    rows = members.withColumn("member", F.lit(True)).unionByName(hubs.withColumn("member", F.lit(False)))
+    rows = rows.join(sets, "class").repartition("t0", "t1").sortWithinPartitions("t0", "t1", "member")
 
-    A class's set is sent once to each task it has a pair in.
-    """
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            edges = []
+            for name, member, shingles in zip(*(batch.column(n).to_pylist() for n in ("class", "member", "shingles")), strict=True):
+                one = np.frombuffer(shingles, dtype=np.uint64)
+                if not member:
+                    hub, own = name, one
+                elif linked(one, own):
+                    edges.append((name, hub))
+            yield _edge_batch(edges)
+
+    return rows.mapInArrow(test, EDGES)
+
+
+def _verified_blocks(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b)``: links between different labels within each task of ``_in_blocks``, but for those that follow from others."""
     task = ["t0", "t1", "t2"]
-    ends = tasks.select(*task, F.col("a").alias("class"), F.col("b").alias("to"))
-    others = tasks.select(*task, F.col("b").alias("class"), F.lit(None).cast("bigint").alias("to"))
-    members = ends.unionByName(others).groupBy(*task, "class").agg(F.collect_set("to").alias("to"))
-    rows = members.join(sets, "class").repartition(*task).sortWithinPartitions(*task, "class")
+    rows = blocks.join(sets, "class").repartition(*task).sortWithinPartitions(*task, "class")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: tuple | None = None
-        held: dict[int, np.ndarray] = {}
-        pairs: list[tuple[int, int]] = []
+        held: dict[int, tuple] = {}
         for batch in batches:
-            names = (*task, "class", "to", "shingles")
-            for t0, t1, t2, name, to, shingles in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+            edges = []
+            names = (*task, "class", "own", "label", "shingles")
+            for t0, t1, t2, name, own, label, shingles in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
                 if (t0, t1, t2) != group:
-                    yield _links(held, pairs)
-                    group, held, pairs = (t0, t1, t2), {}, []
-                if name not in held:  # repeated rows are one class
-                    held[name] = np.frombuffer(shingles, dtype=np.uint64)
-                    pairs += [(name, other) for other in to]
-        yield _links(held, pairs)
-
-    return rows.mapInArrow(test, EVIDENCE)
-
-
-def _links(sets: dict[int, np.ndarray], pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    root = {name: name for name in sets}
-
-    def top(name: int) -> int:
-        while root[name] != name:
-            root[name] = root[root[name]]
-            name = root[name]
-        return name
-
-    found = []
-    for a, b in pairs:
-        x, y = top(a), top(b)
-        if x != y and linked(sets[a], sets[b]):
-            root[max(x, y)] = min(x, y)
-            found.append((a, b))
-    columns = list(zip(*found, strict=True)) or [(), ()]
-    return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+                    edges += _block_links(held, group)
+                    group, held = (t0, t1, t2), {}
+                held[name] = own, label, np.frombuffer(shingles, dtype=np.uint64)  # repeated rows are one class
+            yield _edge_batch(edges)
+        yield _edge_batch(_block_links(held, group))
+
+    return rows.mapInArrow(test, EDGES)
+
+
+def _block_links(held: dict[int, tuple], group: tuple | None) -> list[tuple[int, int]]:
+    """Every pair of a task is looked at by size and finer signature, and what agrees by its full sets."""
+    if len(held) < 2:
+        return []
+    names = list(held)
+    own, label, sets = zip(*held.values(), strict=True)
+    own, label = np.array(own), np.array(label)  # the label becomes that of what has been linked here
+    size = np.array([len(s) for s in sets])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    values = np.concatenate(sets)
+    marks = words.mix(signatures(values, bounds, FINE_BINS)).astype(np.uint8)
+    edges = []
+    for x in range(len(names) - 1):
+        rest = slice(x + 1, None)
+        may = (label[rest] != label[x]) & _near_sizes(size[rest], int(size[x]))
+        if group[1] != group[2]:
+            may &= own[rest] != own[x]
+        at = np.flatnonzero(may) + x + 1
+        at = at[(marks[at] == marks[x]).sum(axis=1) >= FINE_AGREE]
+        if not len(at):
+            continue
+        lengths = size[at]
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        picked = np.repeat(bounds[at] - starts[:-1], lengths) + np.arange(starts[-1])
+        place = np.searchsorted(sets[x], values[picked])
+        place[place == size[x]] = 0
+        shared = np.add.reduceat(sets[x][place] == values[picked], starts[:-1])
+        for y in at[shared * LINK[1] >= LINK[0] * (size[x] + lengths - shared)].tolist():
+            if label[y] != label[x]:
+                edges.append((names[y], names[x]))
+                label[label == label[y]] = label[x]
+    return edges
 
 
 # --- all together ------------------------------------------------------------------------
@@ -371,11 +425,11 @@ def class_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
             links = kept(links.unionByName(_verified(_around_hubs(others), sets)))
     links = kept(links)
     labels = kept(components(links))
-    rest = kept(_agreeing_pairs(_open_rows(shared, labels), classes))
-    if rest.isEmpty():
+    ties = kept(_ties(_open_rows(shared, labels), classes))
+    if ties.isEmpty():
         return labels
-    ends = rest.select(F.col("a").alias("class")).unionByName(rest.select(F.col("b").alias("class"))).distinct()
-    more = _verified(_in_blocks(rest, classes), kept(_sets(docs, classes, ends)))
+    ends = ties.select(F.col("a").alias("class")).unionByName(ties.select(F.col("b").alias("class"))).distinct()
+    more = _verified_blocks(_in_blocks(ties, classes, labels), kept(_sets(docs, classes, ends)))
     return components(links.unionByName(kept(more)))
 
 
