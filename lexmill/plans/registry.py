@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.plans import flows, history, quality, retrieval, risk, search, streams, text
+from lexmill.plans import files, flows, history, quality, retrieval, risk, search, streams, text
 
 ALL = {
     **retrieval.QUERIES,
@@ -13,4 +13,5 @@ ALL = {
     **quality.QUERIES,
     **streams.QUERIES,
     **flows.QUERIES,
+    **files.QUERIES,
 }

@@ -7,53 +7,52 @@ from pyspark.sql import functions as F
 
 from lexmill import fixed_values as V
 from lexmill.functions.labels import path_extension, upload_kind
-from lexmill.operators.stats import json_validity
+from lexmill.sources import json_ranges
 
-CORPUS_SCHEMA = (
-    "legaldocuments array<struct<id:string,document_type:string,title:string,source_url:string,content:string>>"
-)
+CORPUS_KEY, INDEX_KEY = "legaldocuments", "vectors"
+DOCUMENT_FIELDS = "id string, document_type string, title string, source_url string, content string"
 DOCUMENT_SCHEMA = (
     "Id int, Title string, SubTitle string, DocumentNumber string, DocumentType string, "
     "Agency string, IssueDate string, Description string, Content string"
 )
-INDEX_SCHEMA = "vectors map<string,array<double>>"
 COMMAND_SCHEMA = "Id bigint, ts timestamp, seq bigint, cmd string, body string"
 
 
 def read_legal_corpus(spark: SparkSession, path: str) -> DataFrame:
     """``(position, id, document_type, title, source_url, content)`` of corpus files.
 
-    ``path`` may name many files; each is one JSON object and read by one task.
-    ``position`` goes on from file to file, in the order of their names, so that
-    documents without an id are told apart. A missing list gives no rows.
+    ``path`` may name many files, each one JSON object of any size; a file is read
+    in byte ranges. ``position`` goes on from file to file, in the order of their
+    names, so that documents without an id are told apart. A missing list gives no
+    rows; of a repeated one the last counts.
     """
-    files = spark.read.schema(CORPUS_SCHEMA).option("multiLine", True).json(path).withColumn("_file", F.input_file_name())
+    found = json_ranges.elements(json_ranges.json_parts(spark, path), CORPUS_KEY)
     # One short row per file.
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = files.groupBy("_file").agg(F.sum(F.greatest(F.size("legaldocuments"), F.lit(0))).alias("_n"))
-    starts = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("int").alias("_start"))
-    placed = files.join(starts, "_file").select("_start", F.posexplode("legaldocuments").alias("_at", "doc"))
-    return placed.select((F.col("_start") + F.col("_at")).alias("position"), "doc.*")
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = found.groupBy("file").agg(F.count("*").alias("_n"))
+    starts = sizes.select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = found.join(F.broadcast(starts), "file")
+    return placed.select((F.col("_start") + F.col("position")).alias("position"), F.from_json("text", DOCUMENT_FIELDS).alias("doc")).select("position", "doc.*")
 
 
 def corpus_validity(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, is_valid, n_documents)`` per corpus file."""
-    files = spark.read.option("wholetext", True).text(path)
-    told = json_validity(files.withColumn("path", F.input_file_name()), "value")
-    return told.select("path", "is_valid", "n_documents")
+    """``(path, is_valid, n_documents)`` per corpus file, read in byte ranges; an empty file has no row."""
+    told = json_ranges.validity(json_ranges.json_parts(spark, path), CORPUS_KEY)
+    return told.select(F.col("file").alias("path"), "is_valid", F.col("n_elements").alias("n_documents"))
 
 
 def read_vector_index(spark: SparkSession, path: str, current: DataFrame | None = None) -> DataFrame:
-    """``(vec_id, embedding)`` of a saved index; the parquet form or the JSON map.
+    """``(vec_id, embedding)`` of a saved index; the parquet form or the JSON map, which is read in byte ranges.
 
     A JSON file without ``vectors`` leaves ``current`` as it is.
     """
     if not path.endswith(".json"):
         return spark.read.parquet(path)
-    saved = spark.read.schema(INDEX_SCHEMA).option("multiLine", True).json(path)
-    if current is not None and saved.where(F.col("vectors").isNotNull()).isEmpty():
+    parts = json_ranges.json_parts(spark, path, cut="]")
+    if current is not None and parts.where((F.col("kind") == "map") & (F.col("text") == INDEX_KEY)).isEmpty():
         return current
-    rows = saved.select(F.explode("vectors").alias("vec_id", "embedding"))
+    entries = json_ranges.elements(parts, INDEX_KEY).select(F.concat(F.lit("{"), "text", F.lit("}")).alias("text"))
+    rows = entries.select(F.explode(F.from_json("text", "map<string,array<double>>")).alias("vec_id", "embedding"))
     return rows.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<float>"))
 
 

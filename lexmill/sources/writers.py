@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexmill.operators.history import export_contract_text
@@ -11,6 +14,23 @@ def write_vector_index(df: DataFrame, path: str, mode: str = "overwrite") -> Non
     df.select("vec_id", "embedding").write.mode(mode).parquet(path)
 
 
+def write_json_lists(elements: DataFrame, path: str, key: str, brackets: str = "[]") -> None:
+    """One JSON object per partition of ``elements(text)``: ``key`` and the texts as its list, or as its entries."""
+    head, tail = f'{{"{key}":{brackets[0]}', f"{brackets[1]}}}"
+
+    def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = head
+        for batch in batches:
+            lines = []
+            for text in batch.column(0).to_pylist():
+                lines.append(lead + text)
+                lead = ","
+            yield pa.record_batch([pa.array(lines, pa.string())], names=["text"])
+        yield pa.record_batch([pa.array([tail if lead == "," else head + tail])], names=["text"])
+
+    elements.select("text").mapInArrow(frame, "text string").write.text(path)
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
