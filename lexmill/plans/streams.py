@@ -39,15 +39,40 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(rate_limit_violations(requests(table(spark, sf_dir, "events")), LIMIT, WIDTH))
 
 
-def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rate_limit_violations(requests(arriving(spark, sf_dir, "events")), LIMIT, WIDTH)
+def _streamed_rate(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    found = rate_limit_violations(requests(arriving(spark, sf_dir, "events")), LIMIT, WIDTH, **how)
     path = fresh_folder(spark, "rate-limit")
     write_epochs(found, path, f"{path}-checkpoint", mode="update").awaitTermination()
     newest = spark.read.parquet(path).groupBy("key", "window_start").agg(F.max("n").alias("n"))
     return _shown(newest)
 
 
+def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed_rate(spark, sf_dir, delay="0 seconds")
+
+
 RATE_SQL = f"""
+    WITH RECURSIVE asked AS (
+      SELECT CASE WHEN user_id <> 0 THEN user_id::VARCHAR ELSE 'ip-' || event_type END AS key, ts::TIMESTAMP AS ts FROM events),
+    opened(key, s) AS (
+      SELECT key, min(ts) FROM asked GROUP BY key
+      UNION ALL
+      SELECT o.key, min(a.ts) FROM opened o JOIN asked a ON a.key = o.key AND a.ts >= o.s + INTERVAL '{WIDTH}' GROUP BY o.key)
+    SELECT o.key, {sql_stamp('s')} AS window_start, count(*) AS n
+    FROM opened o JOIN asked a ON a.key = o.key AND a.ts >= s AND a.ts < s + INTERVAL '{WIDTH}'
+    GROUP BY o.key, s HAVING count(*) > {LIMIT}"""
+
+
+def rate_limit_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with windows aligned to the clock."""
+    return _shown(rate_limit_violations(requests(table(spark, sf_dir, "events")), LIMIT, WIDTH, aligned=True))
+
+
+def rate_limit_clock_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed_rate(spark, sf_dir, aligned=True)
+
+
+RATE_CLOCK_SQL = f"""
     SELECT key, {sql_stamp('day')} AS window_start, count(*) AS n
     FROM (SELECT CASE WHEN user_id <> 0 THEN user_id::VARCHAR ELSE 'ip-' || event_type END AS key,
       date_trunc('day', ts)::TIMESTAMP AS day FROM events)
@@ -100,6 +125,8 @@ QUERIES = {
     "retention_stream": (retention_stream, RETENTION_SQL),
     "rate_limit": (rate_limit, RATE_SQL),
     "rate_limit_stream": (rate_limit_stream, RATE_SQL),
+    "rate_limit_clock": (rate_limit_clock, RATE_CLOCK_SQL),
+    "rate_limit_clock_stream": (rate_limit_clock_stream, RATE_CLOCK_SQL),
     "history_stream": (history_stream, FOLD_SQL),
     "ingest_stream": (ingest_stream, CHUNK_PAGES_SQL),
 }
