@@ -9,7 +9,7 @@ from lexmill import fixed_values as V
 from lexmill.plans.common import AS_OF_EVENTS, DIM, HISTORY_SQL, command_log, history, sql_stamp, stamp, table
 from lexmill.plans.history import FOLD_SQL, folded, sql_state, state
 from lexmill.plans.text import CHUNK_PAGES_SQL
-from lexmill.streaming.history import current_records, streaming_history
+from lexmill.streaming.history import DAY_MICROS, current_records, streaming_history
 from lexmill.streaming.ingest import current_index, stream_ingest
 from lexmill.streaming.retention import retention_sweep
 from lexmill.streaming.rate_limit import rate_limit_violations
@@ -80,7 +80,8 @@ RATE_CLOCK_SQL = f"""
 
 
 def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions = streaming_history(command_log(arriving(spark, sf_dir, "events")), delay="0 seconds")
+    log = command_log(arriving(spark, sf_dir, "events"))
+    versions = streaming_history(log, delay="0 seconds", slot_micros=7 * DAY_MICROS)  # a record has a few commands a week
     path = fresh_folder(spark, "history")
     write_epochs(versions, path, f"{path}-checkpoint", mode="update").awaitTermination()
     return folded(current_records(spark.read.parquet(path).drop("epoch"), AS_OF_EVENTS))
