@@ -184,7 +184,7 @@ leveled AS (
   FROM weighed WINDOW before AS (ORDER BY lim / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 water AS (SELECT arg_min(level, {{'a': ratio, 'b': r}}) FILTER (WHERE level <= ratio) AS water FROM leveled),
 targets AS (SELECT source, s, r, whole, least(lim::DOUBLE, coalesce(water * w, lim::DOUBLE)) AS target FROM leveled, water),
-seated AS (SELECT *, round((sum(target) OVER ()) / {mixing.BLOCK_WORDS})::BIGINT AS seats FROM targets),
+seated AS (SELECT *, round(sum(target) OVER ())::BIGINT AS seats FROM targets),
 {_sql_apportioned("sourced", "seated", "whole", "r", "target", "seats")},
 sharded AS (
   SELECT r, source, s, target, won AS quota,
@@ -199,15 +199,22 @@ lined AS (
 parts AS (SELECT r, shard, quota, sum(size)::BIGINT AS words FROM placed GROUP BY r, shard, quota),
 {_sql_apportioned("allotted", "parts", "r", "shard", "words", "quota")},
 blocks AS (
-  SELECT r, shard, n, least(won, n * {mixing.MOST}) // n AS rounds, least(won, n * {mixing.MOST}) % n AS more,
+  SELECT r, shard, n, words, least(won, words * {mixing.MOST}) // words AS rounds, least(won, words * {mixing.MOST}) % words AS more,
     {_sql_number("'mix/blocks/' || r || '/' || shard")} % n AS shift
-  FROM (SELECT *, greatest(ceil(words / {mixing.BLOCK_WORDS}), 1)::BIGINT AS n FROM allotted))
+  FROM (SELECT *, ceil(words / {mixing.BLOCK_WORDS})::BIGINT AS n FROM allotted WHERE words > 0)),
+cut AS (
+  SELECT l.*, n, words, rounds, more, shift, ((n - 1) * {mixing.PRIME} + shift) % n AS last_place,
+    unnest(CASE WHEN size = 0 THEN [-1] ELSE range((upto - size) // {mixing.BLOCK_WORDS}, (upto - 1) // {mixing.BLOCK_WORDS} + 1) END) AS b
+  FROM (SELECT *, row_number() OVER () AS line FROM lined) l LEFT JOIN blocks USING (r, shard)),
+ordered AS (
+  SELECT *, ((b * {mixing.PRIME} + shift) % n) AS place_of, upto - size AS begins FROM cut),
+held AS (
+  SELECT *, place_of * {mixing.BLOCK_WORDS} - CASE WHEN place_of > last_place THEN n * {mixing.BLOCK_WORDS} - words ELSE 0 END AS before
+  FROM ordered)
 SELECT doc_id, size, source, s AS source_size, target,
-  (CASE WHEN size = 0 THEN 0 ELSE rounds * size + coalesce(list_sum(list_transform(
-    range((upto - size) // {mixing.BLOCK_WORDS}, (upto - 1) // {mixing.BLOCK_WORDS} + 1),
-    lambda b: CASE WHEN (b * {mixing.PRIME} + shift) % n < more
-      THEN least(upto, (b + 1) * {mixing.BLOCK_WORDS}) - greatest(upto - size, b * {mixing.BLOCK_WORDS}) ELSE 0 END)), 0) END)::BIGINT AS taken
-FROM lined JOIN blocks USING (r, shard)"""
+  (CASE WHEN size = 0 THEN 0 ELSE rounds * size + sum(greatest(0,
+    least(upto, b * {mixing.BLOCK_WORDS} + least({mixing.BLOCK_WORDS}, more - before)) - greatest(begins, b * {mixing.BLOCK_WORDS}))) END)::BIGINT AS taken
+FROM held GROUP BY line, doc_id, size, source, s, target, rounds"""
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
