@@ -37,8 +37,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes words of, with how many it takes."""
-    return mixing.mix_sources(docs).where("taken > 0")
+    """The documents the mix takes words of, whole and with all columns, and how many words it takes of each."""
+    return mixing.mixed_documents(docs)
 
 
 STAGES = [
@@ -57,7 +57,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of ``documents``.
 
     Each stage's table goes to a folder of this run in the shared checkpoint
-    folder; a table is removed once the next one is complete, the last one stays.
+    folder; a table is removed once the next one is complete. The last two stay:
+    the clean corpus, also of documents the mix takes nothing of, and the mix.
     """
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
@@ -65,7 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-        if before:
+        if before and number < len(STAGES) - 1:
             _remove(spark, before)
         before = path
     return docs
