@@ -79,15 +79,19 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert {r["doc_id"] for r in clean} == {r["doc_id"] for r in cut if not contaminated(r["text"])}
 
     sizes = {r["doc_id"]: len(tokens(r["text"])) for r in clean}
-    taken = Counter()
+    taken, whole = Counter(), {r["doc_id"]: r for r in clean}
     for r in mix:
         assert 0 < r["taken"] <= 2 * sizes[r["doc_id"]] and r["size"] == sizes[r["doc_id"]]
+        assert whole[r["doc_id"]] == {name: r[name] for name in docs.columns}
         taken[r["source"]] += r["taken"]
-    assert all(abs(taken[r["source"]] - r["target"]) <= 3 * 64 for r in mix)
+    assert all(abs(taken[r["source"]] - r["target"]) <= 2 for r in mix)
 
 
 def test_pipeline_runs(spark):
-    assert corpus_pipeline.run(spark, SF_DIR).count() > 0
+    mix = corpus_pipeline.run(spark, SF_DIR)
+    columns = spark.read.parquet(f"{SF_DIR}/documents.parquet").columns
+    assert mix.columns == [*columns, "size", "source_size", "target", "taken"]
+    assert mix.count() > 0 and mix.where("text is null or taken = 0").count() == 0
 
 
 def test_the_rest_stands_alone(tmp_path):
