@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexmill import fixed_values as V
 from lexmill.functions import labels
 from lexmill.operators import risk as op
+from lexmill.operators import rule_table
 from lexmill.operators.extraction import analyze_contracts
 from lexmill.operators.quality import drop_analysis_text as drop_text
 from lexmill.plans.common import documents, sql_text, table
@@ -38,6 +39,30 @@ def risk_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.match_risk_rules(contracts(spark, sf_dir), RULES)
 
 
+def rules_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a rule; its keywords are the words no item of a lower id has."""
+    word = F.explode(F.split(F.lower("text"), " ")).alias("keyword")
+    words = table(spark, sf_dir, "benchmark").select("item_id", word).where("keyword <> ''")
+    owners = words.groupBy("keyword").agg(F.min("item_id").alias("rule_id"))
+    return owners.select("keyword", "rule_id", F.lit("item").alias("clause"), F.lit("words of an item").alias("issue"), F.lit("Low").alias("severity"))
+
+
+def risk_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against rules that are a table, with all words of all items as keywords."""
+    hits = rule_table.rule_hits(contracts(spark, sf_dir), rules_of_items(spark, sf_dir))
+    ids = F.array_sort(F.transform("hits", lambda hit: hit["rule_id"]))
+    return hits.select("contract_id", F.size("hits").alias("n_rules"), F.array_join(ids, ",").alias("rule_ids"))
+
+
+RULE_TABLE_SQL = """
+    WITH words AS (SELECT item_id, unnest(string_split(lower(text), ' ')) AS keyword FROM benchmark),
+    rules AS (SELECT keyword, min(item_id) AS rule_id FROM words WHERE keyword <> '' GROUP BY keyword),
+    hits AS (SELECT DISTINCT doc_id, rule_id FROM documents JOIN rules ON contains(lower(text), keyword))
+    SELECT d.doc_id AS contract_id, count(rule_id)::INTEGER AS n_rules,
+      coalesce(string_agg(rule_id, ',' ORDER BY rule_id), '') AS rule_ids
+    FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.risk_report(contracts(spark, sf_dir), RULES)
 
@@ -171,6 +196,7 @@ def drop_analysis_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "risk_matches": (risk_matches, _MATCHES),
+    "risk_rule_table": (risk_rule_table, RULE_TABLE_SQL),
     "risk_report": (risk_report, REPORT_SQL),
     "risk_items": (risk_items, ITEMS_SQL),
     "risk_split": (risk_split, SPLIT_SQL),
