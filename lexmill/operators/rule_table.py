@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RULE = ("rule_id", "clause", "issue", "severity")
-BLOCK_BYTES = 1 << 20  # an automaton of about 100 MB
+BLOCK_BYTES = 1 << 20  # an automaton of at most about 50 MB
 ROW_BYTES = 16
 HITS_AT_ONCE = 1 << 16
 
