@@ -9,6 +9,7 @@ from lexmill import fixed_values as V
 from lexmill.plans.common import AS_OF_EVENTS, DIM, HISTORY_SQL, command_log, history, sql_stamp, stamp, table
 from lexmill.plans.history import FOLD_SQL, folded, sql_state, state
 from lexmill.plans.text import CHUNK_PAGES_SQL
+from lexmill.sources.readers import stream_history_commands
 from lexmill.streaming.history import DAY_MICROS, current_records, streaming_history
 from lexmill.streaming.ingest import current_index, stream_ingest
 from lexmill.streaming.retention import retention_sweep
@@ -87,6 +88,24 @@ def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded(current_records(spark.read.parquet(path).drop("epoch"), AS_OF_EVENTS))
 
 
+def commands_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commands written as files of JSON lines, and read back as they arrive."""
+    files, seen = fresh_folder(spark, "commands"), fresh_folder(spark, "arrived")
+    log = command_log(table(spark, sf_dir, "events"))
+    log.withColumn("ts", F.col("ts").cast("timestamp")).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(files)
+    write_epochs(stream_history_commands(spark, files), seen, f"{seen}-checkpoint").awaitTermination()
+    return spark.read.parquet(seen).select("Id", stamp("ts").alias("ts"), "seq", "cmd", "body")
+
+
+COMMAND_FILES_SQL = f"""
+    SELECT Id, {sql_stamp("ts")} AS ts, seq, cmd,
+      CASE WHEN cmd <> 'patch' THEN props WHEN k % 7 = 1 THEN 'broken'
+        WHEN k % 5 = 0 THEN '{{"pagesImages":[],"title":"' || k || '"}}' ELSE '{{"evil":1,"title":"' || k || '"}}' END AS body
+    FROM (SELECT *, CASE event_type WHEN 'signup' THEN 'save' WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'restore'
+        WHEN 'click' THEN 'patch' ELSE CASE WHEN event_type = 'view' AND k < 2 THEN 'purge' ELSE 'read' END END AS cmd
+      FROM (SELECT user_id AS Id, ts::TIMESTAMP AS ts, event_id AS seq, event_type, props, (props->>'$.k')::INTEGER AS k FROM events))"""
+
+
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = arriving(spark, sf_dir, "pages").select(
         F.col("page_id").cast("string").alias("id"),
@@ -129,5 +148,6 @@ QUERIES = {
     "rate_limit_clock": (rate_limit_clock, RATE_CLOCK_SQL),
     "rate_limit_clock_stream": (rate_limit_clock_stream, RATE_CLOCK_SQL),
     "history_stream": (history_stream, FOLD_SQL),
+    "commands_from_files": (commands_from_files, COMMAND_FILES_SQL),
     "ingest_stream": (ingest_stream, CHUNK_PAGES_SQL),
 }

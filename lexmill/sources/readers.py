@@ -116,5 +116,6 @@ def with_static_fallback(spark: SparkSession, df: DataFrame | None) -> DataFrame
 
 
 def stream_history_commands(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """History commands arriving as files in a folder."""
-    return spark.readStream.schema(COMMAND_SCHEMA).format(fmt).load(path)
+    """History commands arriving as files in a folder; times keep their microseconds, zone and fraction are optional."""
+    times = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]"
+    return spark.readStream.schema(COMMAND_SCHEMA).format(fmt).option("timestampFormat", times).load(path)
