@@ -12,6 +12,7 @@ a batch at a time, with a state of fixed size. No conversation is held in memory
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -139,6 +140,7 @@ class Reader:
 
     def __init__(self, template: Template):
         self.template = template
+        self.stops = re.compile(f"[{re.escape(template.sigil + template.escape)}]")
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.chars = 0
         self.rest = ""  # of a marker or an escape that the next piece completes
@@ -172,8 +174,8 @@ class Reader:
                 return
 
     def _next(self, text: str, at: int) -> int:
-        found = [i for i in (text.find(self.template.sigil, at), text.find(self.template.escape, at)) if i >= 0]
-        return min(found, default=len(text))
+        found = self.stops.search(text, at)
+        return found.start() if found else len(text)
 
     def _mark(self, marker: str) -> None:
         if marker == self.template.open:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,20 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def opened(shared: Any, keep: bool = False) -> Iterator[Any]:
+    """In a task: the value of a broadcast, let go afterwards unless ``keep``, so that of many only one is in memory.
+
+    What is no broadcast is its own value.
+    """
+    if not isinstance(shared, Broadcast):
+        yield shared
+        return
+    yield shared.value
+    if not keep:
+        vars(shared).pop("_value", None)  # the next one to ask reads it from the executor's disk again
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5

@@ -2,17 +2,18 @@
 
 Containment of an item in a document is the share of the item's distinct
 five-word shingles that the document has. Items are partitioned by size
-(powers of two). In a partition of small items the signature is the whole
-shingle set; in the others it is the item's minimum under each of ``SIGNATURE``
-hash permutations. A minimum is one of the item's own shingles, so the share of
-minima found among a document's shingles estimates containment without bias
-however long the document is, and a document never needs a sketch of its own.
-Each partition asks for as many found minima as miss a contained item with a
-chance of at most ``MISS``; documents too short for a partition skip it. What is
-found is verified by counting the shared shingles.
-
-Items are asked in blocks of a bounded number of shingles. Each block is one
-narrow pass over the documents: nothing is shuffled.
+(powers of two), and an item's signature is its minimum under each of the
+partition's hash permutations. A minimum is one of the item's own shingles, so
+the share of minima found among a document's shingles estimates containment
+without bias however long the document is, and a document never needs a sketch of
+its own. Each partition has its own number of minima and asks for as many found
+ones as miss a contained item with a chance of at most ``MISS``: up to three
+shingles all must be found, since 0.8 of them is all of them. Documents too short
+for an item skip it. What is found is verified by counting the shared shingles.
+
+Items are asked in blocks of a bounded number of shingles. A pass shingles each
+document once and asks ``BLOCKS_A_PASS`` blocks, of which a task holds one at a
+time; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -20,21 +21,26 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.llm import words
-from lexmill.llm.common import unused
+from lexmill.llm.common import opened, unused
 
-SIGNATURE = 64
+SIGNATURE = 64  # most minima of an item
 MISS = 1e-12
 BLOCK_SHINGLES = 1 << 20
+BLOCKS_A_PASS = 16
 SIMILARITY = (4, 5)
 _FILTER_BITS = 22
+_SALTS = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, SIGNATURE, dtype=np.uint64)
 
 
 def least_found(minima: int, share: float, miss: float = MISS) -> int:
@@ -47,19 +53,39 @@ def least_found(minima: int, share: float, miss: float = MISS) -> int:
     return minima
 
 
+@cache
+def partition_of(size: int) -> tuple[int, int]:
+    """``(minima, least number of them to be found)`` of the size partition that has items of ``size`` shingles."""
+    low = 1 << (int(size).bit_length() - 1)
+    # among five sizes in a row is one of which exactly 0.8 may be asked
+    share = min(-(-n * SIMILARITY[0] // SIMILARITY[1]) / n for n in range(low, min(2 * low, low + SIMILARITY[1])))
+    minima = SIGNATURE if share < 1 else min(SIGNATURE, 4 * low)
+    return minima, least_found(minima, share)
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The item's minimum under each permutation of its partition."""
+    salts = _SALTS[: partition_of(len(shingles))[0]]
+    out = np.empty(len(salts), dtype=np.uint64)
+    step = max(1, (1 << 18) // len(shingles))  # permutations at once
+    for k in range(0, len(salts), step):
+        out[k : k + step] = shingles[words.mix(shingles[None, :] ^ salts[k : k + step, None]).argmin(axis=1)]
+    return out
+
+
 @dataclass
 class ItemIndex:
     """Signatures of a block of items, as sorted arrays.
 
-    ``values`` are signature shingles; ``entries[first[i]:first[i + 1]]`` are the
-    items of value i and ``weights`` how many minima it stands for.
+    ``values`` are minima; ``entries[first[i]:first[i + 1]]`` are the items of value
+    i and ``weights`` for how many permutations it is the minimum.
     """
 
     item_ids: np.ndarray
     sizes: np.ndarray  # distinct shingles
     lengths: np.ndarray  # words of items with fewer words than a shingle, else 0
     needed: np.ndarray  # minima to be found
-    shingles: list[np.ndarray]
+    shingles: np.ndarray  # of all items, end to end
     values: np.ndarray
     first: np.ndarray
     entries: np.ndarray
@@ -67,33 +93,24 @@ class ItemIndex:
     filter: np.ndarray
 
     @classmethod
-    def build(cls, item_ids: list[int], lengths: list[int], shingles: list[np.ndarray]) -> ItemIndex:
+    def build(cls, item_ids: list[int], lengths: list[int], shingles: list[np.ndarray], signatures: list[np.ndarray]) -> ItemIndex:
+        none = np.zeros(0, dtype=np.uint64)
         sizes = np.array([len(s) for s in shingles], dtype=np.int64)
-        rng = np.random.Generator(np.random.PCG64(11))
-        salts = rng.integers(0, 2**63, SIGNATURE, dtype=np.uint64)
-        value, entry, weight, needed = [], [], [], np.zeros(len(shingles), dtype=np.int64)
-        share = SIMILARITY[0] / SIMILARITY[1]
-        sketched = least_found(SIGNATURE, share)
-        for i, own in enumerate(shingles):
-            upper = 1 << int(len(own)).bit_length()  # of the item's size partition
-            if upper <= SIGNATURE:
-                found, times = own, np.ones(len(own), dtype=np.int64)
-                needed[i] = -(-len(own) * SIMILARITY[0] // SIMILARITY[1])
-            else:
-                minima = np.array([own[np.argmin(words.mix(own ^ salt))] for salt in salts])
-                found, times = np.unique(minima, return_counts=True)
-                needed[i] = sketched
-            value.append(found)
-            entry.append(np.full(len(found), i))
-            weight.append(times)
-        value, entry, weight = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (value, entry, weight))
-        value = value.astype(np.uint64)
-        order = np.argsort(value, kind="stable")
-        values, first = np.unique(value[order], return_index=True)
+        needed = np.array([partition_of(n)[1] for n in sizes], dtype=np.int64)
+        entry = np.repeat(np.arange(len(sizes)), [len(s) for s in signatures])
+        value = np.concatenate([none, *signatures])
+        order = np.lexsort((entry, value))
+        value, entry = value[order], entry[order]
+        new = np.ones(len(value), dtype=bool)
+        new[1:] = (value[1:] != value[:-1]) | (entry[1:] != entry[:-1])
+        weights = np.diff(np.r_[np.flatnonzero(new), len(value)])
+        value, entry = value[new], entry[new]
+        values, first = np.unique(value, return_index=True)
         has = np.zeros(1 << _FILTER_BITS, dtype=bool)
         has[(values >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         first = np.r_[first, len(value)].astype(np.int64)
-        return cls(np.array(item_ids, dtype=np.int64), sizes, np.array(lengths, dtype=np.int64), needed, shingles, values, first, entry[order], weight[order], has)
+        own = np.concatenate([none, *shingles])
+        return cls(np.array(item_ids, dtype=np.int64), sizes, np.array(lengths, dtype=np.int64), needed, own, values, first, entry, weights, has)
 
     def matches(self, value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(document, item, shared)`` of verified containments; ``value`` holds sorted shingles per document."""
@@ -114,7 +131,9 @@ class ItemIndex:
         large = np.diff(bounds)[doc] * SIMILARITY[1] >= self.sizes[item] * SIMILARITY[0]
         good = (found >= self.needed[item]) & (large | (self.lengths[item] > 0))
         doc, item = doc[good], item[good]
-        shared = np.array([_shared(self.shingles[i], value[bounds[d] : bounds[d + 1]]) for d, i in zip(doc, item, strict=True)], dtype=np.int64)
+        ends = np.cumsum(self.sizes)
+        own = [self.shingles[ends[i] - self.sizes[i] : ends[i]] for i in item]
+        shared = np.array([_shared(s, value[bounds[d] : bounds[d + 1]]) for s, d in zip(own, doc, strict=True)], dtype=np.int64)
         good = shared * SIMILARITY[1] >= self.sizes[item] * SIMILARITY[0]
         return doc[good], item[good], shared[good]
 
@@ -151,19 +170,30 @@ def item_blocks(items: DataFrame, key: str = "item_id", text: str = "text", bloc
                 value, bounds = words.shingle_sets(found)
                 counts = found.counts
                 lengths = np.where(counts < words.SHINGLE_WORDS, counts, 0)
-                data = [value[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+                sets = [value[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+                data = [own.tobytes() for own in sets]
+                minima = [signature(own).tobytes() if len(own) else b"" for own in sets]
                 yield pa.record_batch(
-                    [part.column("_key"), pa.array(lengths), pa.array(np.diff(bounds)), pa.array(data, pa.binary())],
-                    names=["item_id", "words", "n", "shingles"],
+                    [part.column("_key"), pa.array(lengths), pa.array(np.diff(bounds)), pa.array(data, pa.binary()), pa.array(minima, pa.binary())],
+                    names=["item_id", "words", "n", "shingles", "minima"],
                 )
 
     rows = items.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text")).dropDuplicates()
-    sets = rows.mapInArrow(prepare, "item_id bigint, words bigint, n bigint, shingles binary").where("n > 0 and item_id is not null")
+    sets = rows.mapInArrow(prepare, "item_id bigint, words bigint, n bigint, shingles binary, minima binary").where("n > 0 and item_id is not null")
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, math.ceil(total / block))
     for k in range(blocks):
         own = sets.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "words", "n").collect()  # one bounded block
-        yield ItemIndex.build([r["item_id"] for r in own], [r["words"] for r in own], [np.frombuffer(r["shingles"], dtype=np.uint64) for r in own])
+        arrays = ([np.frombuffer(r[name], dtype=np.uint64) for r in own] for name in ("shingles", "minima"))
+        yield ItemIndex.build([r["item_id"] for r in own], [r["words"] for r in own], *arrays)
+
+
+def _passes(items: DataFrame, block: int) -> Iterator[list[tuple[Broadcast, list[int]]]]:
+    """All blocks broadcast, as many together as a pass asks, each with the lengths of its items below a shingle."""
+    spark = items.sparkSession.sparkContext
+    blocks = ((spark.broadcast(index), sorted({int(n) for n in index.lengths if n})) for index in item_blocks(items, block=block))
+    while some := list(islice(blocks, BLOCKS_A_PASS)):
+        yield some
 
 
 FOUND = T.ArrayType(
@@ -171,25 +201,28 @@ FOUND = T.ArrayType(
 )
 
 
-def with_matches(docs: DataFrame, index: ItemIndex, text: str = "text", name: str = "_matches") -> DataFrame:
-    """``docs`` with all their columns and ``name``: the items of one block that each document contains."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the block
+def with_matches(docs: DataFrame, blocks: list[tuple[Broadcast, list[int]]], text: str = "text", name: str = "_matches") -> DataFrame:
+    """``docs`` with all their columns and ``name``: the items of the blocks that each document contains."""
     place = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, FOUND)])
+    short = sorted({n for _, lengths in blocks for n in lengths})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        short = sorted({int(n) for n in own.lengths if n})
         for batch in batches:
             batch = pa.record_batch(batch.columns, names=[str(i) for i in range(batch.num_columns)])
             for part in words.slices(batch, str(place)):
                 value, bounds = _with_short(words.find_words(part.column(place), lower=True), short)
-                doc, item, n = own.matches(value, bounds)
-                offsets = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
-                fields = [own.item_ids[item], own.sizes[item], n]
-                rows = pa.StructArray.from_arrays([pa.array(f, pa.int64()) for f in fields], names=FOUND.elementType.names)
-                found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
-                yield pa.record_batch([*part.columns, found], names=schema.names)
+                found = []
+                for block, _ in blocks:
+                    with opened(block, keep=len(blocks) == 1) as own:
+                        doc, item, n = own.matches(value, bounds)
+                        found.append((doc, own.item_ids[item], own.sizes[item], n))
+                doc, *fields = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.argsort(doc, kind="stable")
+                offsets = np.searchsorted(doc[order], np.arange(part.num_rows + 1)).astype(np.int32)
+                rows = pa.StructArray.from_arrays([pa.array(f[order], pa.int64()) for f in fields], names=FOUND.elementType.names)
+                matches = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+                yield pa.record_batch([*part.columns, matches], names=schema.names)
 
     return docs.mapInArrow(search, schema)
 
@@ -204,16 +237,16 @@ def contained_items(docs: DataFrame, items: DataFrame, block: int = BLOCK_SHINGL
     documents are reported each, repeated items once.
     """
     out = None
-    for index in item_blocks(items, block=block):
-        found = with_matches(docs.select("doc_id", "text"), index).select("doc_id", F.inline("_matches"))
+    for blocks in _passes(items, block):
+        found = with_matches(docs.select("doc_id", "text"), blocks).select("doc_id", F.inline("_matches"))
         out = found if out is None else out.unionByName(found)
     return out.withColumn("containment", F.col("shared_shingles") / F.col("item_shingles"))
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """``docs`` without the documents that contain an item, block after block; all columns stay."""
+    """``docs`` without the documents that contain an item; all columns stay."""
     out = docs
-    for index in item_blocks(items, block=block):
+    for blocks in _passes(items, block):
         (name,) = unused(out, "_matches")
-        out = with_matches(out, index, name=name).where(F.size(name) == 0).drop(name)
+        out = with_matches(out, blocks, name=name).where(F.size(name) == 0).drop(name)
     return out

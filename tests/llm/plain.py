@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small tables."""
 
+import math
 import re
 from collections import Counter
 
@@ -61,3 +62,55 @@ def brute_targets(sizes):
         if not more:
             return {s: 2 * sizes[s] if s in full else level * weight[s] for s in names}
         full |= more
+
+
+def some_letters(rng):
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+
+
+def plain_trigrams(text):
+    """The trigram bins of each word; only for ASCII."""
+    out = []
+    for word in re.findall("[a-z]+", text.lower()):
+        said = b" " + word.encode() + b" "
+        codes = [(said[i - 1] << 16) | (said[i] << 8) | said[i + 1] for i in range(1, len(said) - 1)]
+        out.append([(code * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for code in codes])
+    return out
+
+
+def plain_language(learned, text):
+    """The languages selected for ``text`` and their shares, from ``learned`` pairs of language and text."""
+    names = sorted({lang for lang, _ in learned})
+    counts = {lang: Counter() for lang in names}
+    for lang, said in learned:
+        counts[lang].update(b for word in plain_trigrams(said) for b in word)
+
+    def chance(lang, word):
+        total = counts[lang].total() + 0.5 * 65536
+        return sum(0.5 * math.log((counts[lang][b] + 0.5) / total) for b in word)
+
+    seen = [[chance(lang, word) for lang in names] for word in plain_trigrams(text)]
+
+    def maximised(allowed):
+        shares = [1 / len(allowed) if k in allowed else 0.0 for k in range(len(names))]
+        for _ in range(10):
+            new = [0.0] * len(names)
+            for row in seen:
+                joint = [s * math.exp(x - max(row)) for s, x in zip(shares, row, strict=True)]
+                for k, j in enumerate(joint):
+                    new[k] += j / max(sum(joint), 1e-30) / len(seen)
+            shares = new
+        fit = sum(max(row) + math.log(max(sum(s * math.exp(x - max(row)) for s, x in zip(shares, row, strict=True)), 1e-30)) for row in seen)
+        return shares, fit
+
+    alone = [sum(row[k] for row in seen) for k in range(len(names))]
+    best, value = {names[alone.index(max(alone))]: 1.0}, max(alone)
+    every, _ = maximised(range(len(names)))
+    order = sorted(range(len(names)), key=lambda k: -every[k])
+    price = 3.0 * math.log(len(seen) + 1)
+    for size in range(2, len(names) + 1):
+        shares, fit = maximised(order[:size])
+        if fit - price * (size - 1) <= value:
+            break
+        best, value = dict(zip(names, shares, strict=True)), fit - price * (size - 1)
+    return best

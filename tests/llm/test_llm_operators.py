@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-from plain import brute_components, brute_removal, brute_targets, grams, some_text, tokens
+from plain import brute_components, brute_removal, brute_targets, grams, plain_language, some_letters, some_text, tokens
 from pyspark.sql import functions as F
 
 from lexmill.llm import chat_format, decontaminate, gif, jaccard_join, language, lm_scores, mixing, quality, substring_dedup, token_counts
@@ -108,6 +109,19 @@ def test_chat_reader_takes_any_pieces():
     assert whole.turns.hexdigest() == parts.turns.hexdigest() == hashlib.sha256(b"user\na<b\\c</turn>\n").hexdigest()
 
 
+def test_chat_reader_is_linear_in_escapes():
+    template = chat_format.Template()
+    took = []
+    for n in (100_000, 1_000_000):
+        reader, said = chat_format.Reader(template), "\\<" * (n // 2)
+        began = time.perf_counter()
+        reader.feed(template.open + "assistant" + template.body, False)
+        reader.feed(template.guarded(said), True)
+        took.append(time.perf_counter() - began)
+        assert reader.loss_chars == n and reader.loss.hexdigest() == hashlib.sha256(said.encode()).hexdigest()
+    assert took[1] < 40 * took[0]
+
+
 # --- 2 ------------------------------------------------------------------------------
 
 
@@ -190,6 +204,42 @@ def test_containment_equals_brute_force(spark, docs, rows, block):
     assert gone - {None} == {r[0] for r in rows if r[0] is not None} - {r.doc_id for r in left.collect()}
 
 
+def test_size_partitions():
+    for size in (1, 2, 3, 4, 5, 9, 31, 32, 500, 70_000):
+        minima, needed = decontaminate.partition_of(size)
+        rng = np.random.Generator(np.random.PCG64(size))
+        item = np.unique(rng.integers(0, 2**64 - 1, size, dtype=np.uint64))
+        found = decontaminate.signature(item)
+        assert len(found) == minima and np.isin(found, item).all() and needed >= 4
+        if size < 4:
+            assert needed == minima and set(found) == set(item)
+        else:
+            assert minima == decontaminate.SIGNATURE and needed == decontaminate.least_found(minima, 0.8)
+
+
+@pytest.mark.parametrize("size", [4, 5, 6, 10, 20, 60, 200, 1000])
+def test_barely_contained_items_are_found(size):
+    """Recall of each size partition where exactly the least share is there, and silence just below it."""
+    rng = np.random.Generator(np.random.PCG64(size))
+    items = [np.unique(rng.integers(0, 2**64 - 1, size, dtype=np.uint64)) for _ in range(300)]
+    sizes = [len(own) for own in items]
+    index = decontaminate.ItemIndex.build(list(range(300)), [0] * 300, items, [decontaminate.signature(own) for own in items])
+    least = -(-size * 4 // 5)
+    for shared, expected in ((least, 300), (least - 1, 0)):
+        noise = rng.integers(0, 2**64 - 1, (300, 50), dtype=np.uint64)
+        texts = [np.unique(np.r_[rng.permutation(own)[:shared], extra]) for own, extra in zip(items, noise, strict=True)]
+        bounds = np.cumsum([0, *(len(t) for t in texts)])
+        doc, item, n = index.matches(np.concatenate(texts), bounds)
+        assert sizes == [size] * 300 and len(doc) == expected and (doc == item).all() and (n == shared).all()
+
+
+def test_containment_in_several_passes(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(r.doc_id, r.text) for r in docs.where("doc_id < 60").collect()], "item_id bigint, text string")
+    whole = Counter(decontaminate.contained_items(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "BLOCKS_A_PASS", 3)
+    assert Counter(decontaminate.contained_items(docs, bench, 2000).collect()) == whole and whole
+
+
 def test_containment_of_nothing(docs, empty, spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contained_items(docs, none).count() == 0
@@ -217,6 +267,62 @@ def test_language_mixture(spark):
     assert score[0] == score[1] == 1 and 0.55 < score[2] < 0.75 and 0.6 < score[4] < 0.7
 
 
+@pytest.mark.parametrize("block", [1, 2, 4, 128])
+def test_language_equals_plain(spark, monkeypatch, block):
+    """Likelihoods, mixtures and their selection against plain Python, with languages in blocks of any size."""
+    rng = random.Random(7)
+    said = {lang: [some_letters(rng) for _ in range(40)] for lang in ("aa", "bb", "cc", "dd", "ee")}
+    speak = lambda lang, n: " ".join(rng.choice(said[lang]) for _ in range(n))
+    learned = [(lang, speak(lang, 80)) for lang in said for _ in range(4)]
+    asked = [speak(lang, n) for lang in said for n in (1, 3, 30)]
+    asked += [f"{speak(a, n)} {speak(b, m)}" for a, b in (("aa", "bb"), ("ee", "cc")) for n, m in ((30, 30), (60, 20), (5, 1), (25, 200))]
+    asked += [" ".join(speak(lang, 40) for lang in ("aa", "cc", "dd"))]
+    counts = np.stack([np.bincount(language.trigrams(pa.array([t for k, t in learned if k == lang]))[0], minlength=language.BINS) for lang in said])
+    monkeypatch.setattr(language, "LANGUAGE_BLOCK", max(block, 3))  # a mixture has at most as many
+    best, score = language.Languages.build(list(said), counts.astype(float), block).predict(pa.array(asked))
+    for text, lang, share in zip(asked, best, score, strict=True):
+        mixture = plain_language(learned, text)
+        assert list(said)[lang] == max(mixture, key=mixture.get) and abs(mixture[list(said)[lang]] - share) < 1e-3
+    assert ((score > 0.2) & (score < 0.9)).sum() >= 5
+
+
+def test_more_languages_than_a_block(spark):
+    """900 languages: none is dropped, and texts between two blocks' languages are mixtures of them."""
+    rng = random.Random(11)
+    said = {f"l{i:03d}": [some_letters(rng) for _ in range(12)] for i in range(900)}
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)), lang) for i, (lang, words) in enumerate((x for x in said.items() for _ in range(4)))]
+    both = [(10_000 + i, " ".join([*said[a] * 3, *said[b] * 2]), None) for i, (a, b) in enumerate((("l001", "l899"), ("l700", "l010"), ("l400", "l401")))]
+    docs = spark.createDataFrame([*rows, *both], "doc_id bigint, text string, lang string").repartition(8)
+    got = {r.doc_id: r for r in language.predict_languages(docs).collect()}
+    assert len(got) == len(rows) + 3
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
+    assert len(learned) == 900 and all(got[i].lang_pred == lang for i, _, lang in rows)
+    assert [got[10_000 + i].lang_pred for i in range(3)] == ["l001", "l700", "l400"]
+    assert all(0.5 < got[10_000 + i].score < 0.7 for i in range(3))
+
+
+def test_language_counts_of_a_task_are_passed_on(spark, monkeypatch):
+    rng = random.Random(3)
+    parts = [language._coded(*language.trigrams(pa.array([some_text(rng, 50)] * 3)), np.array([5, k, 5])) for k in range(4)]
+    code, n = language._summed(parts)
+    plain = Counter()
+    for own, many in parts:
+        plain.update(dict(zip(own.tolist(), many.tolist(), strict=True)))
+    assert dict(zip(code.tolist(), n.tolist(), strict=True)) == plain and (np.diff(code) > 0).all()
+
+
+def test_language_of_a_very_long_text(monkeypatch):
+    """Tables are read some trigrams at a time; a word may be cut."""
+    rng = random.Random(4)
+    text = pa.array(["x" * 5000, " ".join(some_letters(rng) for _ in range(3000)), "y"])
+    bins, first, _ = language.trigrams(text)
+    table = np.random.Generator(np.random.PCG64(1)).integers(-9, 10, (language.BINS, 3)).astype(np.float32)  # sums are exact
+    whole = np.add.reduceat(table[bins], first, axis=0)
+    for numbers in (3, 10, 3000):
+        monkeypatch.setattr(language, "NUMBERS_AT_ONCE", numbers)
+        assert (language._likely(table, bins, first) == whole).all()
+
+
 def test_language_on_odd_rows(docs, empty, rows):
     got = language.predict_languages(clashing(docs)).collect()
     assert len(got) == len(rows)
