@@ -163,10 +163,14 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def command_log(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     k = F.get_json_object("props", "$.k").cast("int")
-    # Patches: some are no JSON, some have an invalid value, all have a key that no patch may set.
+    # Patches: some are no JSON, some have an invalid value, some sign or take a signature back; those with a title
+    # also have a key that no patch may set.
     patch = (
         F.when(k % 7 == 1, F.lit("broken"))
         .when(k % 5 == 0, F.concat(F.lit('{"pagesImages":[],"title":"'), k, F.lit('"}')))
+        .when(k % 11 == 3, F.lit('{"signatureADataUrl":"data:application/pdf;base64,AAAA"}'))
+        .when(k % 4 == 2, F.concat(F.lit('{"signatureADataUrl":"data:image/png;base64,AA'), F.lpad(k.cast("string"), 2, "0"), F.lit('"}')))
+        .when(k % 4 == 0, F.lit('{"signatureADataUrl":null}'))
         .otherwise(F.concat(F.lit('{"evil":1,"title":"'), k, F.lit('"}')))
     )
     cmd = (
@@ -183,12 +187,22 @@ def command_log(events: DataFrame) -> DataFrame:
     )
 
 
+PATCH_SQL = """CASE WHEN k % 7 = 1 THEN 'broken' WHEN k % 5 = 0 THEN '{"pagesImages":[],"title":"' || k || '"}'
+        WHEN k % 11 = 3 THEN '{"signatureADataUrl":"data:application/pdf;base64,AAAA"}'
+        WHEN k % 4 = 2 THEN '{"signatureADataUrl":"data:image/png;base64,AA' || lpad(k::VARCHAR, 2, '0') || '"}'
+        WHEN k % 4 = 0 THEN '{"signatureADataUrl":null}' ELSE '{"evil":1,"title":"' || k || '"}' END"""
+
+# ``title`` and ``signature`` are what a patch sets; a signature that is taken back is empty
 COMMANDS_SQL = """(
-    SELECT user_id AS Id, ts::TIMESTAMP AS ts, event_id AS seq, (props->>'$.k')::INTEGER AS k,
-      CASE WHEN event_type = 'signup' THEN 'save' WHEN event_type = 'error' THEN 'delete'
+    SELECT *, CASE WHEN cmd = 'patch' AND k % 4 IN (1, 3) THEN k END AS title,
+      CASE WHEN cmd = 'patch' AND k % 4 = 2 THEN 'data:image/png;base64,AA' || lpad(k::VARCHAR, 2, '0')
+        WHEN cmd = 'patch' AND k % 4 = 0 THEN '' END AS signature
+    FROM (
+      SELECT *, CASE WHEN event_type = 'signup' THEN 'save' WHEN event_type = 'error' THEN 'delete'
         WHEN event_type = 'purchase' THEN 'restore'
-        WHEN event_type = 'click' AND (props->>'$.k')::INTEGER % 7 = 1 THEN 'refused: invalid JSON'
-        WHEN event_type = 'click' AND (props->>'$.k')::INTEGER % 5 = 0 THEN 'refused: pagesImages'
+        WHEN event_type = 'click' AND k % 7 = 1 THEN 'refused: invalid JSON'
+        WHEN event_type = 'click' AND k % 5 = 0 THEN 'refused: pagesImages'
+        WHEN event_type = 'click' AND k % 11 = 3 THEN 'refused: signatureADataUrl'
         WHEN event_type = 'click' THEN 'patch'
-        WHEN event_type = 'view' AND (props->>'$.k')::INTEGER < 2 THEN 'purge' ELSE 'read' END AS cmd
-    FROM events)"""
+        WHEN event_type = 'view' AND k < 2 THEN 'purge' ELSE 'read' END AS cmd
+      FROM (SELECT user_id AS Id, ts::TIMESTAMP AS ts, event_id AS seq, event_type, (props->>'$.k')::INTEGER AS k FROM events)))"""

@@ -316,8 +316,11 @@ EXPORT_SQL = f"""
 
 
 def folded(df: DataFrame) -> DataFrame:
-    title, evil = (F.coalesce(F.get_json_object("AnalysisJson", f"$.meta.{key}"), F.lit("")) for key in ("title", "evil"))
-    return df.select("Id", *[stamp(name).alias(name) for name in DATES], title.alias("title"), evil.alias("evil"))
+    def held(key: str) -> F.Column:
+        return F.coalesce(F.get_json_object("AnalysisJson", f"$.meta.{key}"), F.lit(""))
+
+    dates = [stamp(name).alias(name) for name in DATES]
+    return df.select("Id", *dates, held("title").alias("title"), held("signatureADataUrl").alias("signature"), held("evil").alias("evil"))
 
 
 def history_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,12 +349,14 @@ FOLD_SQL = f"""
         arg_max(cmd, pos) AS last_cmd, arg_max(ts, pos) AS last_ts,
         bool_or(cmd = 'delete' AND back > ts + INTERVAL {V.RETENTION_DAYS} DAY) AS swept
       FROM effective GROUP BY Id),
-    patches AS (SELECT Id, max(ts) AS patched, arg_max(k, pos) AS k FROM later WHERE cmd = 'patch' GROUP BY Id),
+    patches AS (SELECT Id, max(ts) AS patched, arg_max(title, pos) AS title, arg_max(signature, pos) AS signature
+      FROM later WHERE cmd = 'patch' GROUP BY Id),
     final AS (SELECT f.Id, f.born.ts AS CreatedAt, greatest(e.moved, p.patched) AS UpdatedAt,
-        CASE WHEN e.last_cmd = 'delete' THEN e.last_ts END AS DeletedAt, p.k
+        CASE WHEN e.last_cmd = 'delete' THEN e.last_ts END AS DeletedAt, p.title, p.signature
       FROM first f LEFT JOIN ends e USING (Id) LEFT JOIN patches p USING (Id)
       WHERE f.Id NOT IN (SELECT Id FROM later WHERE cmd = 'purge') AND coalesce(e.swept, false) = false)
-    SELECT Id, {', '.join(f'{sql_stamp(name)} AS {name}' for name in DATES)}, coalesce(k::VARCHAR, '') AS title, '' AS evil
+    SELECT Id, {', '.join(f'{sql_stamp(name)} AS {name}' for name in DATES)},
+      coalesce(title::VARCHAR, '') AS title, coalesce(signature, '') AS signature, '' AS evil
     FROM final
     WHERE DeletedAt IS NULL OR DeletedAt >= TIMESTAMP '{AS_OF_EVENTS}' - INTERVAL {V.RETENTION_DAYS} DAY"""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import fixed_values as V
-from lexmill.plans.common import AS_OF_EVENTS, DIM, HISTORY_SQL, command_log, history, sql_stamp, stamp, table
+from lexmill.plans.common import AS_OF_EVENTS, DIM, HISTORY_SQL, PATCH_SQL, command_log, history, sql_stamp, stamp, table
 from lexmill.plans.history import FOLD_SQL, folded, sql_state, state
 from lexmill.plans.text import CHUNK_PAGES_SQL
 from lexmill.sources.readers import stream_history_commands
@@ -99,8 +99,7 @@ def commands_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 COMMAND_FILES_SQL = f"""
     SELECT Id, {sql_stamp("ts")} AS ts, seq, cmd,
-      CASE WHEN cmd <> 'patch' THEN props WHEN k % 7 = 1 THEN 'broken'
-        WHEN k % 5 = 0 THEN '{{"pagesImages":[],"title":"' || k || '"}}' ELSE '{{"evil":1,"title":"' || k || '"}}' END AS body
+      CASE WHEN cmd <> 'patch' THEN props ELSE {PATCH_SQL} END AS body
     FROM (SELECT *, CASE event_type WHEN 'signup' THEN 'save' WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'restore'
         WHEN 'click' THEN 'patch' ELSE CASE WHEN event_type = 'view' AND k < 2 THEN 'purge' ELSE 'read' END END AS cmd
       FROM (SELECT user_id AS Id, ts::TIMESTAMP AS ts, event_id AS seq, event_type, props, (props->>'$.k')::INTEGER AS k FROM events))"""
