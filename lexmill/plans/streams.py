@@ -22,9 +22,12 @@ WIDTH = "1 day"
 
 
 def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table as a stream of its file."""
+    """A test table as a stream of its file, or of the files in its folder.
+
+    A pattern names both; a plain path of a stream must be a folder.
+    """
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def requests(events: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from datetime import datetime
 
 from test_history import DAY, LOG, random_log, simulate, state
 
+from lexmill.plans.streams import ingest_stream
 from lexmill.streaming.history import HOUR_MICROS, RecordKeeper, current_records, streaming_history
 
 
@@ -113,3 +114,15 @@ def test_waiting_commands_cost_what_is_due():
     assert not handle.slots and not handle.timers
     list(keeper.handleInputRows((1,), asked([(HOUR_MICROS * 9, 1, "save", "{}")]), Clock(HOUR_MICROS * 4)))
     assert not handle.slots and not handle.timers
+
+
+def test_a_table_arrives_as_a_file_or_as_a_folder_of_files(spark, tmp_path):
+    html = "<p>" + "word " * 60 + "</p>"
+    rows = spark.createDataFrame([(i, f"u{i}", html) for i in range(6)], "page_id bigint, url string, html string")
+    rows.repartition(3).write.parquet(str(tmp_path / "folder" / "pages.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "written").glob("part-*.parquet")).rename(tmp_path / "file" / "pages.parquet")
+    for form in ("folder", "file"):
+        found = ingest_stream(spark, str(tmp_path / form))
+        assert sorted(r.id for r in found.collect()) == [f"doc_{i}_chunk_0" for i in range(6)]
