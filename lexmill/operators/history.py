@@ -112,8 +112,12 @@ def original_files(df: DataFrame) -> DataFrame:
 
 
 def backfill_contract_text(df: DataFrame, texts: DataFrame, as_of) -> DataFrame:
-    """Blank texts filled from ``texts(Id, text)``, read from the original files."""
-    derived = texts.select("Id", F.col("text").alias("_derived"))
+    """Blank texts filled from ``texts(Id, text)``, read from the original files.
+
+    The texts can be as many as the records and are longer than the columns their
+    size is estimated from, so they are moved by key and never broadcast.
+    """
+    derived = texts.select("Id", F.col("text").alias("_derived")).hint("merge")
     has_file = blank_to_null(meta.meta_text(meta.safe_json_parse(F.col("AnalysisJson")), "originalFileDataUrl")).isNotNull()
     is_blank = js_trim(F.coalesce(_stored_text(), F.lit(""))) == ""
     fill = is_blank & has_file & blank_to_null(F.col("_derived")).isNotNull()

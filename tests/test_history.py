@@ -148,6 +148,14 @@ def test_backfill(spark):
     assert rows[2].ContractText is None and rows[2].UpdatedAt is None and rows[3].ContractText == "x"
 
 
+def test_backfilled_texts_are_not_broadcast(spark):
+    df = spark.createDataFrame([(1, None, None, None, NOW)], "Id bigint, AnalysisJson string, AnalysisText string, ContractText string, UpdatedAt timestamp_ntz")
+    texts = spark.createDataFrame([(1, "t")], "Id bigint, text string")
+    plan = H.backfill_contract_text(df, texts, NOW)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+
 def test_export(spark):
     meta = json.dumps({"meta": {"title": "", "category": "c", "description": "d"}})
     df = spark.createDataFrame(
