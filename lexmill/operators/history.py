@@ -300,9 +300,11 @@ def _patch(df: DataFrame, patches: DataFrame, as_of, keys, error_of, order: str)
         AnalysisJson=meta.merge_json_meta(F.col("AnalysisJson"), F.col("_body")),
         UpdatedAt=_clock(df, as_of, "UpdatedAt"),
     )
-    refused = judged.where(F.col("error").isNotNull()).select(*patches.columns, "error")
-    unknown = sound.join(df.select("Id"), "Id", "left_anti").select(*patches.columns, F.lit("not found").alias("error"))
-    return updated, refused.unionByName(unknown)
+    # One pass: a branch each for the refused and the unknown would judge every patch twice.
+    known = df.select("Id").distinct().withColumn("_known", F.lit(True)).hint("merge")
+    unknown = F.when(F.col("_known").isNull(), F.lit("not found"))
+    placed = judged.join(known, "Id", "left").withColumn("error", F.coalesce("error", unknown))
+    return updated, placed.where(F.col("error").isNotNull()).select(*patches.columns, "error")
 
 
 def merge_patches(patches: DataFrame, key: str, order: list[str], body: str, names: tuple[str, ...]) -> DataFrame:

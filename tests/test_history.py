@@ -317,3 +317,15 @@ def test_sweep(spark, tmp_path, table):
 
     retention_sweep(clock, lambda: table, store, str(tmp_path / "cp"), trigger={"availableNow": True}).awaitTermination()
     assert swept == {0: [1, 2, 4, 5]}
+
+
+def test_rejected_patches_are_judged_once(spark, table):
+    rows = [(1, '{"title":"t"}', 1), (9, '{"title":"t"}', 1), (9, "{", 2), (None, '{"title":"t"}', 3), (None, "{", 4), (1, "{", 5)]
+    patches = spark.createDataFrame(rows, "Id bigint, patch string, seq int")
+    _, rejected = H.update_meta(table.unionByName(table), patches, NOW)
+    assert rejected.columns == ["Id", "patch", "seq", "error"]
+    assert sorted((r.seq, r.Id, r.error) for r in rejected.where("seq > 1").collect()) == [
+        (2, 9, H.UNREADABLE), (3, None, "not found"), (4, None, H.UNREADABLE), (5, 1, H.UNREADABLE)
+    ]
+    assert [(r.Id, r.error) for r in rejected.where("seq = 1").collect()] == [(9, "not found")]
+    assert rejected._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") == 1
