@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -12,6 +14,8 @@ from pyspark.sql.types import StringType
 
 from lexmill import fixed_values as V
 
+SLICE_BYTES = 1 << 20  # of texts that are strings at once
+
 
 def js_trim(col: Column) -> Column:
     """Trim Unicode white space and the byte order mark, not only U+0020."""
@@ -25,14 +29,28 @@ def utf16_length(col: Column) -> Column:
 
 @F.arrow_udf(StringType())
 def nfc(texts: pa.Array) -> pa.Array:
-    """Unicode NFC. Texts of plain ASCII stay in their Arrow buffer."""
-    plain = pc.fill_null(pc.string_is_ascii(texts), True)
-    if pc.all(plain).as_py():
+    """Unicode NFC. Texts of plain ASCII stay in their Arrow buffer, others become strings a few at a time."""
+    return pa.concat_arrays([_composed(part) for part in byte_slices(texts, SLICE_BYTES)] or [texts])
+
+
+def _composed(texts: pa.Array) -> pa.Array:
+    if pc.all(pc.fill_null(pc.string_is_ascii(texts), True)).as_py():
         return texts
     composed = [text and unicodedata.normalize("NFC", text) for text in texts.to_pylist()]
     return pa.array(composed, type=texts.type)
 
 
+def byte_slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Consecutive slices of ``most`` bytes or less, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        last = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield texts.slice(at, last - at)
+        at = last
+
+
 def strip_html(html: Column) -> Column:
     """Markup to plain lines. An unclosed ``<`` removes the rest of the text."""
     lines = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?i)<br" + V.SPACE_CLASS + r"*/?>|</p>|</div>", "\n")

@@ -1,5 +1,7 @@
+import tracemalloc
 import unicodedata
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -94,3 +96,15 @@ def test_dates(one):
     assert one(T.format_date_vi(F.lit("2025-03-04"))) == "4/3/2025"
     assert one(T.format_date_vi(F.lit("soon"))) == "soon"
     assert one(T.format_date_vi(F.lit(None).cast("string"))) == ""
+
+
+def test_a_batch_is_composed_in_small_parts():
+    text = "e\u0301" * 20_000
+    texts = pa.array([text, None, "", "plain"] * 100)
+    tracemalloc.start()
+    out = T.nfc.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == ["\u00e9" * 20_000, None, "", "plain"] * 100
+    assert peak < 8 << 20
+    assert T.nfc.func(pa.array([], pa.string())).to_pylist() == []
