@@ -4,11 +4,13 @@
    of two values each. Equal sets are one class, so copies are never paired.
 2. Classes that share a key may belong together. Keys of one class are dropped
    by a count. Under a key of usual size, classes are tied whose MinHash values
-   agree often enough; under a very frequent key all are tied to its first
-   class, row by row, which can only make more classes meet. Two sets that
-   link miss all 32 keys with a chance of (1 - 0.64) ** 32 < 1e-14 and fall
-   short of ``AGREE`` values with one below 1e-13; both are
-   of the order at which hashed shingles are told apart at all.
+   agree often enough. Classes under a very frequent key are dealt once more, to
+   that key with each of their others, and tied so there. Only under a frequent
+   pair of keys, four equal values, all are tied to its first class, row by
+   row, which can only make more classes meet. Two sets that link share fewer
+   than two of the 32 keys with a chance below 4e-13 (none: 1e-14) and fall
+   short of ``AGREE`` values with one below 1e-13; all are of the order at
+   which hashed shingles are told apart at all.
 3. Tied classes form clusters. A cluster's texts meet in one task, or, by the
    number of their shingles, in blocks of which every two meet. There a
    signature tree finds the links and verifies them exactly.
@@ -128,12 +130,33 @@ def _agreeing(held: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
 
 def _possible_ties(classes: DataFrame) -> DataFrame:
     rows = classes.select("class", "marks", F.explode("keys").alias("key"))
-    counted = rows.groupBy("key").agg(F.count("*").alias("_n"), F.min("class").alias("_hub")).where("_n > 1")
-    shared = rows.join(counted, "key")
-    hot = shared.where(F.col("_n") > USUAL_KEY).select(F.col("class").alias("a"), F.col("_hub").alias("b"))
-    usual = shared.where(F.col("_n") <= USUAL_KEY).select("key", "class", "marks")
-    usual = usual.repartition("key").sortWithinPartitions("key", "class")
-    return _ties(usual).unionByName(hot).distinct()
+    counted = kept(_shared_keys(rows))
+    ties = _usual_ties(rows, counted)
+    frequent = counted.where(F.col("_n") > USUAL_KEY).select("key")
+    if frequent.isEmpty():
+        return ties.distinct()
+    refined = kept(_key_pairs(classes, rows.join(frequent, "key")))
+    counted = kept(_shared_keys(refined))
+    hot = refined.join(counted.where(F.col("_n") > USUAL_KEY), "key").select(F.col("class").alias("a"), F.col("_hub").alias("b"))
+    return ties.unionByName(_usual_ties(refined, counted)).unionByName(hot).distinct()
+
+
+def _shared_keys(rows: DataFrame) -> DataFrame:
+    """Keys of more than one class, with their number and the first."""
+    return rows.groupBy("key").agg(F.count("*").alias("_n"), F.min("class").alias("_hub")).where("_n > 1")
+
+
+def _usual_ties(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    usual = rows.join(counted.where(F.col("_n") <= USUAL_KEY), "key").select("key", "class", "marks")
+    return _ties(usual.repartition("key").sortWithinPartitions("key", "class"))
+
+
+def _key_pairs(classes: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``(class, marks, key)``: for ``frequent`` rows, one key for each pair of theirs and another key of the class."""
+    held = classes.select("class", "keys").join(frequent.select("class", "marks", F.col("key").alias("_one")), "class")
+    others = F.filter("keys", lambda key: key != F.col("_one"))
+    pairs = F.transform(others, lambda key: F.xxhash64(F.least(key, F.col("_one")), F.greatest(key, F.col("_one"))))
+    return held.select("class", "marks", F.explode(pairs).alias("key")).distinct()
 
 
 def _links(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:

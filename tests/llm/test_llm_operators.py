@@ -722,3 +722,17 @@ def test_token_counts_of_strange_texts():
 def test_folds(spark):
     df = spark.createDataFrame([(i,) for i in (0, 7, -3, None)], "doc_id bigint")
     assert [r.f for r in df.select(fold_of(F.col("doc_id")).alias("f")).collect()] == [zlib.crc32(b"0") % 5, zlib.crc32(b"7") % 5, zlib.crc32(b"-3") % 5, None]
+
+
+def test_frequent_keys_do_not_tie_what_does_not_agree(spark, monkeypatch):
+    """Classes that share one key alone stay apart however many they are; near copies under it are still tied."""
+    monkeypatch.setattr(jaccard_join, "USUAL_KEY", 8)
+    keys = [[0, *(100 * i + k for k in range(1, 32))] for i in range(30)]
+    marks = [bytes(random.Random(i).randrange(256) for _ in range(64)) for i in range(30)]
+    keys[7], marks[7] = [*keys[5][:20], *keys[7][20:]], marks[5][:40] + marks[7][40:]
+    rows = list(zip(range(30), map(bytearray, marks), keys, strict=True))
+    classes = spark.createDataFrame(rows, "class bigint, marks binary, keys array<bigint>")
+    assert {(max(t), min(t)) for t in jaccard_join._possible_ties(classes).collect()} == {(7, 5)}
+    # a pair of keys that is frequent itself ties all to the first class
+    same = classes.withColumn("keys", F.array(*[F.lit(k).cast("bigint") for k in range(32)]))
+    assert {min(t) for t in jaccard_join._possible_ties(same).collect()} == {0}
