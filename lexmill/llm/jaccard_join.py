@@ -129,34 +129,37 @@ def _agreeing(held: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
 
 
 def _possible_ties(classes: DataFrame) -> DataFrame:
-    rows = classes.select("class", "marks", F.explode("keys").alias("key"))
-    counted = kept(_shared_keys(rows))
-    ties = _usual_ties(rows, counted)
-    frequent = counted.where(F.col("_n") > USUAL_KEY).select("key")
+    shared = kept(_shared_keys(classes.select("class", F.explode("keys").alias("key"))))
+    ties = _usual_ties(shared, classes)
+    frequent = shared.where(F.col("_n") > USUAL_KEY).select("class", "key")
     if frequent.isEmpty():
         return ties.distinct()
-    refined = kept(_key_pairs(classes, rows.join(frequent, "key")))
-    counted = kept(_shared_keys(refined))
-    hot = refined.join(counted.where(F.col("_n") > USUAL_KEY), "key").select(F.col("class").alias("a"), F.col("_hub").alias("b"))
-    return ties.unionByName(_usual_ties(refined, counted)).unionByName(hot).distinct()
+    refined = kept(_shared_keys(_key_pairs(classes, frequent)))
+    hot = refined.where(F.col("_n") > USUAL_KEY).select(F.col("class").alias("a"), F.col("_hub").alias("b"))
+    return ties.unionByName(_usual_ties(refined, classes)).unionByName(hot).distinct()
 
 
 def _shared_keys(rows: DataFrame) -> DataFrame:
-    """Keys of more than one class, with their number and the first."""
-    return rows.groupBy("key").agg(F.count("*").alias("_n"), F.min("class").alias("_hub")).where("_n > 1")
+    """``rows(class, key)`` under keys of more than one class, with the number of the key's rows and its first class.
+
+    Most keys are of one class, so rows move once and without their marks.
+    """
+    of_key = Window.partitionBy("key")
+    counted = rows.select("class", "key", F.count("*").over(of_key).alias("_n"), F.min("class").over(of_key).alias("_hub"))
+    return counted.where("_n > 1")
 
 
-def _usual_ties(rows: DataFrame, counted: DataFrame) -> DataFrame:
-    usual = rows.join(counted.where(F.col("_n") <= USUAL_KEY), "key").select("key", "class", "marks")
-    return _ties(usual.repartition("key").sortWithinPartitions("key", "class"))
+def _usual_ties(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    usual = shared.where(F.col("_n") <= USUAL_KEY).select("class", "key").join(classes.select("class", "marks"), "class")
+    return _ties(usual.select("key", "class", "marks").repartition("key").sortWithinPartitions("key", "class"))
 
 
 def _key_pairs(classes: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``(class, marks, key)``: for ``frequent`` rows, one key for each pair of theirs and another key of the class."""
-    held = classes.select("class", "keys").join(frequent.select("class", "marks", F.col("key").alias("_one")), "class")
+    """``(class, key)``: for ``frequent`` rows, one key for each pair of theirs and another key of the class."""
+    held = classes.select("class", "keys").join(frequent.select("class", F.col("key").alias("_one")), "class")
     others = F.filter("keys", lambda key: key != F.col("_one"))
     pairs = F.transform(others, lambda key: F.xxhash64(F.least(key, F.col("_one")), F.greatest(key, F.col("_one"))))
-    return held.select("class", "marks", F.explode(pairs).alias("key")).distinct()
+    return held.select("class", F.explode(pairs).alias("key")).distinct()
 
 
 def _links(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:

@@ -736,3 +736,12 @@ def test_frequent_keys_do_not_tie_what_does_not_agree(spark, monkeypatch):
     # a pair of keys that is frequent itself ties all to the first class
     same = classes.withColumn("keys", F.array(*[F.lit(k).cast("bigint") for k in range(32)]))
     assert {min(t) for t in jaccard_join._possible_ties(same).collect()} == {0}
+
+
+def test_keys_of_one_class_move_once_and_without_marks(spark):
+    """Only rows under a shared key go on, with their number and first class; the others moved the marks along."""
+    rows = spark.createDataFrame([(3, 1), (1, 1), (2, 1), (1, 5), (2, 6), (4, None)], "class bigint, key bigint")
+    shared = jaccard_join._shared_keys(rows.withColumn("marks", F.lit(b"m" * 64)))
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "marks" not in plan[: plan.index("Exchange")]
+    assert sorted(shared.select("class", "key", "_n", "_hub").collect()) == [(1, 1, 3, 1), (2, 1, 3, 1), (3, 1, 3, 1)]
