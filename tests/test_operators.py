@@ -341,6 +341,19 @@ def test_pdf_lines(spark):
     assert pages == {1: "one two\nthird\nab c\nx  y\n", 2: "alone\n", 3: "\n"}
 
 
+def test_pieces_of_a_page_move_as_lists_and_unsorted(spark):
+    """Runs of a page's pieces are one row each; nothing is grouped, and so sorted, before the shuffle."""
+    rows = [(None, 0, "a", 0.0, 9.0, 5.0), (None, 0, "b", 5.5, 9.0, 5.0), (1, None, "c", 0.0, 9.0, None), (1, None, None, 1.0, 9.0, 1.0)]
+    rows += [(None, 0, "d", None, 9.0, 1.0), (2, 0, "e", 0.0, None, 1.0), (2, 1, "f", 0.0, 1.0, 1.0), (2, 0, "g", 0.0, 8.0, 1.0)]
+    items = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id int, page int, str string, x double, y double, w double, item int")
+    got = reassemble_pdf_lines(items.coalesce(1))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
+    assert {(r.doc_id, r.page): r.text for r in got.collect()} == {
+        (None, 0): "ab\n", (1, None): "c\n", (2, 0): "eg\n", (2, 1): "f\n"
+    }
+
+
 def test_embed(spark):
     df = texts(spark, "abc", "de")
     rows = extraction.embed_chunks(df, lambda batch: [[float(len(t))] * (2 if t == "abc" else 3) for t in batch], dim=2)
