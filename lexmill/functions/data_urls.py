@@ -17,6 +17,7 @@ ANY_URL = r"(?i)^data:([^;]+);base64," + PAYLOAD
 
 BOX_TYPE = "struct<x:double,y:double,w:double,h:double>"
 PLACEMENT_TYPE = f"struct<pageIndex:double,a:{BOX_TYPE},b:{BOX_TYPE}>"
+PLACEMENT_PARTS = PLACEMENT_TYPE.replace("double", "variant")
 
 
 def _decode(payload: Column) -> Column:
@@ -87,8 +88,13 @@ def valid_placement(placement: Column) -> Column:
 
 
 def placement_struct(value: Column) -> Column:
-    """A variant read into ``struct(pageIndex, a, b)``; text in place of a number is null."""
-    return F.from_json(F.to_json(value), PLACEMENT_TYPE)
+    """A variant read into ``struct(pageIndex, a, b)``; text in place of a number is null.
+
+    An object is written as JSON text by its known parts: a variant's own keys are dear to write.
+    """
+    parts = F.try_variant_get(value, "$", PLACEMENT_PARTS)
+    text = let(parts, lambda known: F.when(known.isNotNull(), F.to_json(known)).otherwise(F.to_json(value)))
+    return F.from_json(text, PLACEMENT_TYPE)
 
 
 def valid_placement_json(value: Column) -> Column:
